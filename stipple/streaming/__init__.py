@@ -1,0 +1,2 @@
+"""Left empty on purpose: every analysis offered here is a batch job over
+complete tables, so there is no streaming operator to provide."""
