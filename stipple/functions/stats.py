@@ -194,3 +194,23 @@ def mann_whitney_p(u: pd.Series, z: pd.Series, n1: pd.Series, n2: pd.Series, tie
         else:
             out.append(math.erfc(abs(zi) / math.sqrt(2)) if zi == zi else math.nan)
     return pd.Series(out, dtype="float64")
+
+
+@F.pandas_udf(T.DoubleType())
+def hypergeometric_tail(x: pd.Series, marked: pd.Series, total: pd.Series, drawn: pd.Series) -> pd.Series:
+    """P(X >= x) for X marked items among ``drawn`` of ``total``."""
+    x, k, n, d = _f(x), _f(marked), _f(total), _f(drawn)
+
+    def log_choose(a, b):
+        return _lgamma(a + 1) - _lgamma(b + 1) - _lgamma(a - b + 1)
+
+    term = np.exp(log_choose(k, x) + log_choose(n - k, d - x) - log_choose(n, d))
+    out, at, top = term.copy(), x.copy(), np.minimum(k, d)
+    live = at < top
+    while live.any():
+        ratio = (k - at) * (d - at) / ((at + 1) * (n - k - d + at + 1))
+        term = np.where(live, term * ratio, 0.0)
+        out += term
+        at = at + 1
+        live = live & (at < top) & ((term > out * 1e-17) | (ratio > 1))
+    return pd.Series(np.minimum(out, 1.0))
