@@ -128,7 +128,7 @@ def leiden(spark, sf):
 
 @query("resolution_scan")
 def resolution_scan(spark, sf):
-    return rounded(cluster.resolution_scan(graph(spark, sf), tb.vectors(spark, sf), [0.25, 0.5, 1.0, 2.0])[1])
+    return rounded(cluster.resolution_scan(graph(spark, sf), tb.vectors(spark, sf), [0.5, 1.0, 2.0])[1])
 
 
 @query("layout")
@@ -167,7 +167,7 @@ def pseudotime(spark, sf):
 
 def diffusion_times(spark, sf):
     v = tb.vectors(spark, sf)
-    e, values = trajectory.diffmap(graph(spark, sf), 15)
+    e, values = trajectory.diffmap(graph(spark, sf), 10, tol=1e-4)
     e = cut(e, "diffmap")
     return trajectory.pseudotime(e, values, trajectory.pick_root(e, v, ["1", "4"])).join(v.drop("vec"), "cell_id")
 

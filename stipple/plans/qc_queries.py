@@ -236,7 +236,7 @@ def filter_genes_tokens(spark, sf):
         F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("total"))
 
 
-CLASS_SQL = "SELECT doc_id, quality + 1 class FROM labels"
+CLASS_SQL = "SELECT doc_id, CAST(quality + 1 AS BIGINT) class FROM labels"
 
 
 @query("decode_class", f"""SELECT doc_id, class, CASE class WHEN 1 THEN 'singlet' WHEN 2 THEN 'doublet' END class_word
@@ -257,7 +257,7 @@ def keep_singlets(spark, sf):
 
 @query("clean_values", """WITH v AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'NaN'::DOUBLE
   WHEN 2 THEN 'Infinity'::DOUBLE WHEN 3 THEN '-Infinity'::DOUBLE ELSE l_discount END x FROM lineitem)
-SELECT l_orderkey, l_linenumber,
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) l_linenumber,
   CASE WHEN isnan(x) THEN 0 WHEN x = 'Infinity'::DOUBLE THEN 10 WHEN x = '-Infinity'::DOUBLE THEN 0 ELSE x END plot,
   CASE WHEN isnan(x) THEN 0 WHEN x = 'Infinity'::DOUBLE THEN 10 WHEN x = '-Infinity'::DOUBLE THEN -10 ELSE x END scaled,
   CASE WHEN isnan(x) THEN 0 WHEN x = 'Infinity'::DOUBLE THEN 0 WHEN x = '-Infinity'::DOUBLE THEN 0 ELSE x END shift
@@ -302,11 +302,11 @@ def _named(spark, sf):
     return labels.apply_labels(tb.basket_cells(spark, sf), m), m
 
 
-@query("apply_labels", with_(CELLS, MAP_SQL) + """SELECT cell_id, o."name" cluster_name, CAST(o.ord AS BIGINT) cluster_name_ord
+@query("apply_labels", with_(CELLS, MAP_SQL) + """SELECT cell_id, o."name" cluster_name, CAST(COALESCE(o.ord, -1) AS BIGINT) cluster_name_ord
 FROM cells LEFT JOIN m USING (cluster) LEFT JOIN (SELECT "name", ord FROM m WHERE ord IS NOT NULL) o
 ON o."name" = COALESCE(m."name", cluster)""")
 def apply_labels(spark, sf):
-    return rounded(_named(spark, sf)[0].select("cell_id", "cluster_name", "cluster_name_ord"))
+    return rounded(_named(spark, sf)[0].select("cell_id", "cluster_name", F.coalesce("cluster_name_ord", F.lit(-1)).alias("cluster_name_ord")))
 
 
 @query("apply_fate", with_(CELLS, MAP_SQL) + """, n AS (SELECT cell_id, CASE WHEN ord IS NULL THEN NULL ELSE "name" END nm
