@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stipple.functions.order import quantiles
 from stipple.operators.normalize import cell_totals
-from stipple.operators.vectors import sql_type
+from stipple.operators.vectors import gene_index, sql_type
 from stipple.session import cut
 
 #: pool sizes (fixed values): 21, 26, ..., 101
@@ -76,8 +76,11 @@ def pooled_size_factors(
     placed = cut(lab.join(parts, "group").select(
         "cell_id", "total", F.concat_ws("/", "group", F.pmod(F.xxhash64("cell_id"), F.col("_p")).cast("string")).alias("blk")),
         "blocks")
-    rows = counts.join(placed, "cell_id").groupBy("blk", "cell_id").agg(
-        F.max("total").alias("total"), F.collect_list("gene").alias("genes"), F.collect_list("n").alias("val"))
+    index = cut(gene_index(counts), "index")
+    pairs = F.collect_list(F.struct("i", "n"))
+    rows = counts.join(index, "gene").join(placed, "cell_id").groupBy("blk", "cell_id").agg(
+        F.max("total").alias("total"), pairs.alias("p")
+    ).select("blk", "cell_id", "total", F.col("p.i").alias("genes"), F.col("p.n").alias("val"))
     id_type = sql_type(counts, "cell_id")
 
     def solve(t: pa.Table) -> pa.Table:

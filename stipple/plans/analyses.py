@@ -36,7 +36,7 @@ def clean_samples(
     single = cut(corrected.join(calls.where("class = 1").select("cell_id"), "cell_id", "left_semi"), "single")
     log = normalize.shifted_log(single).withColumn("layer", F.lit("log1p_norm"))
     sizes = size_factors.pooled_size_factors(single, groups)
-    pooled = normalize.apply_size_factors(single, sizes).withColumn("layer", F.lit("scran_normalization"))
+    pooled = normalize.apply_size_factors(single, sizes).withColumn("layer", F.lit("pooled_norm"))
     raw = single.select("cell_id", "gene", F.col("n").alias("value")).withColumn("layer", F.lit("counts"))
     return stages.write_stage(root, "clean", {
         "expr": raw.unionByName(log).unionByName(pooled),
@@ -60,7 +60,7 @@ def _rows(expr: DataFrame, counts: DataFrame, cells: DataFrame, n_genes: int) ->
 
 
 def integrate(
-    spark, root: str, layer: str = "scran_normalization", n_genes: int = 10_000, n_comps: int = 50,
+    spark, root: str, layer: str = "pooled_norm", n_genes: int = 10_000, n_comps: int = 50,
     k: int = 15, n_pcs: int = 40, resolutions: Sequence[float] = (0.25, 0.5, 0.7, 1.0, 2.0), epochs: int = 30,
     batch: str = "sample",
 ) -> DataFrame:

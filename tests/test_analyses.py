@@ -23,7 +23,7 @@ def test_samples_to_contrast(spark, tmp_path):
         "cell_id string, sample string, condition string"))
     root = str(tmp_path)
     analyses.clean_samples(counts, cells, root, min_cells=3, n_pcs=5)
-    assert {r.layer for r in stages.layers(spark, root, "clean").collect()} == {"counts", "log1p_norm", "scran_normalization"}
+    assert {r.layer for r in stages.layers(spark, root, "clean").collect()} == {"counts", "log1p_norm", "pooled_norm"}
     scan = analyses.integrate(spark, root, n_genes=60, n_comps=8, n_pcs=6, resolutions=(0.5, 1.0), epochs=1).toPandas()
     assert scan.best.sum() == 1 and scan.silhouette.max() > 0.1
 
