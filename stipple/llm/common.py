@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,49 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_CH
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: dict[int, int],
+                    longest: int, seed: int, key: str = "doc_id", text: str = "text") -> list[tuple[str, int]]:
+    """A bounded sample of labelled texts, the same on every run: (text, label).
+
+    For each class the ``per_class`` usable rows of least hash, texts of up to
+    ``longest`` characters.  Only this sample is held by the driver; rows with
+    a null key or label and repeated labels that disagree take no part.
+    """
+    marks = labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).where("__k is not null")
+    marks = marks.groupBy("__k").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z").drop("__z")
+    rows = docs.where(usable).select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    rows = rows.where(F.length("__t") <= longest).join(marks, "__k")
+    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), "__k", "__t"))
+    out: list[tuple[str, int]] = []
+    for value, n in per_class.items():
+        got = rows.where(F.col("__y") == value).orderBy("__h", "__k", "__t").limit(n).collect()
+        out += [(r["__t"], value) for r in got]
+    return out
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
+    """Weights (the last is the intercept) of a ridge logistic regression by damped Newton steps."""
+    a = np.column_stack([x, np.ones(len(x))])
+    penalty = np.full(a.shape[1], ridge)
+    penalty[-1] = 1e-3
+    w = np.zeros(a.shape[1])
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + (penalty * w * w).sum() / 2)
+
+    at = loss(w)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + np.diag(penalty), a.T @ (p - y) + penalty * w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > at:
+            size /= 2
+        w = w - size * step
+        new = loss(w)
+        if at - new < 1e-9 * max(1.0, abs(at)):
+            break
+        at = new
+    return w

@@ -7,9 +7,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stipple.llm import sentencepieces
-from stipple.llm.common import documents
+from stipple.llm import sentencepieces, toxicity
+from stipple.llm.common import documents, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,3 +33,18 @@ def op4_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op4_sentencepiece"] = op4_sentencepiece
+
+
+def _judged(scores: DataFrame, folds: int, fold: int, threshold: float) -> DataFrame:
+    return scores.select(
+        "doc_id", in_fold("doc_id", folds, fold).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    model = toxicity.fit(docs, documents(spark, sf, "labels"))
+    return _judged(toxicity.score_documents(docs, model), 3, 1, toxicity.THRESHOLD)
+
+
+QUERIES["op9_toxicity"] = op9_toxicity
