@@ -86,3 +86,13 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100
             break
         at = new
     return w
+
+
+def text_bytes(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 bytes of the texts of a batch end to end, and where each begins (one more for the end)."""
+    data = batch.column(column).cast(pa.large_binary())
+    data = pa.compute.fill_null(data, b"") if data.null_count else data
+    places = np.frombuffer(data.buffers()[1], np.int64)[data.offset:data.offset + len(data) + 1]
+    raw = data.buffers()[2]
+    held = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    return held[places[0]:places[-1]], places - places[0]

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import sentencepieces, toxicity
+from stipple.llm import quality, sentencepieces, toxicity
 from stipple.llm.common import documents, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,12 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op9_toxicity"] = op9_toxicity
+
+
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    model = quality.fit(docs, documents(spark, sf, "labels"))
+    return _judged(quality.score_documents(docs, model), 4, 2, quality.THRESHOLD)
+
+
+QUERIES["op6_quality"] = op6_quality
