@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import quality, sentencepieces, toxicity
+from stipple.llm import maxscore, quality, sentencepieces, toxicity
 from stipple.llm.common import documents, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,22 @@ def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op6_quality"] = op6_quality
+
+
+def op7_maxscore(spark: SparkSession, sf: str) -> DataFrame:
+    return maxscore.top_k(documents(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES["op7_maxscore"] = op7_maxscore
+SQL["op7_maxscore"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) c FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), TRUE)),
+pairs AS (
+  SELECT q.vec_id query_id, r.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.c, r.c), lambda p: p[1] * p[2])) AS BIGINT) score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) "rank", vec_id, score FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM pairs) WHERE rank <= 20
+"""
