@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import maxscore, quality, sentencepieces, toxicity
+from stipple.llm import decontaminate, maxscore, quality, sentencepieces, toxicity
 from stipple.llm.common import documents, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,10 @@ pairs AS (
 SELECT query_id, CAST(rank AS INTEGER) "rank", vec_id, score FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM pairs) WHERE rank <= 20
 """
+
+
+def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf), documents(spark, sf, "benchmark"))
+
+
+QUERIES["op10_decontaminate"] = op10_decontaminate
