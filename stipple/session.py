@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,20 +36,25 @@ def local_session(cores: int | str = 8, app: str = "stipple", **extra: str) -> S
     return spark
 
 
+#: temporary folders of local-mode sessions, by application
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session may fall back to a temporary folder; on a
-    cluster a machine-local folder would be lost with its machine.
+    Only a local-mode session without the setting gets a temporary folder; on
+    a cluster a machine-local folder would be lost with its machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="stipple-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="stipple-")
+    return _LOCAL_DIRS[context.applicationId]
 
 
 class Scratch:
