@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import decontaminate, maxscore, quality, sentencepieces, toxicity
+from stipple.llm import bayes_join, decontaminate, maxscore, quality, sentencepieces, toxicity
 from stipple.llm.common import documents, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,30 @@ def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op10_decontaminate"] = op10_decontaminate
+
+
+def op2_bayes_join(spark: SparkSession, sf: str) -> DataFrame:
+    near = bayes_join.near_duplicates(documents(spark, sf))
+    return near.select("doc_id", "class_id", "n_copies", "n_text_links", "n_links")
+
+
+QUERIES["op2_bayes_join"] = op2_bayes_join
+SQL["op2_bayes_join"] = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\t-\\r ]+'), lambda x: x <> '') w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) g
+  FROM t),
+n AS (SELECT doc_id, count(*) n, md5(string_agg(g, '|' ORDER BY g)) f FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b, y.f, x.f = y.f same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach AS (SELECT doc_id a, doc_id b FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b)
+SELECT d.doc_id, r.class_id, 1 + count(*) FILTER (WHERE l.same) n_copies,
+       count(DISTINCT l.f) FILTER (WHERE NOT l.same) n_text_links, count(l.b) n_links
+FROM documents d JOIN (SELECT a, min(b) class_id FROM reach GROUP BY a) r ON r.a = d.doc_id LEFT JOIN l ON l.a = d.doc_id
+GROUP BY ALL
+"""
