@@ -53,13 +53,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     marks = labels.select(F.col(key).alias("__k"), F.col(label).cast("int").alias("__y")).where("__k is not null")
     marks = marks.groupBy("__k").agg(F.min("__y").alias("__y"), F.max("__y").alias("__z")).where("__y = __z").drop("__z")
     rows = docs.where(usable).select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    rows = rows.where(F.length("__t") <= longest).join(marks, "__k")
-    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed), "__k", "__t"))
-    out: list[tuple[str, int]] = []
+    rows = rows.where(F.length("__t") <= longest).withColumn("__h", F.xxhash64(F.lit(seed), "__k", "__t"))
+    lots = rows.select("__k", "__h").join(marks, "__k")  # hashes are drawn first, texts only for the winners
+    drawn = {}
     for value, n in per_class.items():
-        got = rows.where(F.col("__y") == value).orderBy("__h", "__k", "__t").limit(n).collect()
-        out += [(r["__t"], value) for r in got]
-    return out
+        for r in lots.where(F.col("__y") == value).orderBy("__h", "__k").limit(n).collect():
+            drawn[r["__k"], r["__h"]] = value
+    if not drawn:
+        return []
+    winners = docs.sparkSession.createDataFrame(
+        [(*k, v) for k, v in drawn.items()], f"__k {docs.schema[key].dataType.simpleString()}, __h bigint, __y int")
+    got = rows.join(F.broadcast(winners), ["__k", "__h"]).dropDuplicates(["__k", "__h"]).collect()
+    return [(r["__t"], r["__y"]) for r in sorted(got, key=lambda r: (r["__h"], r["__k"]))]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> np.ndarray:
