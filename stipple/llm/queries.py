@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import bayes_join, decontaminate, maxscore, quality, sentencepieces, toxicity
+from stipple.llm import bayes_join, decontaminate, maxscore, quality, secrets, sentencepieces, toxicity
 from stipple.llm.common import documents, in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,11 @@ SELECT d.doc_id, r.class_id, 1 + count(*) FILTER (WHERE l.same) n_copies,
 FROM documents d JOIN (SELECT a, min(b) class_id FROM reach GROUP BY a) r ON r.a = d.doc_id LEFT JOIN l ON l.a = d.doc_id
 GROUP BY ALL
 """
+
+
+def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.report(secrets.scan(documents(spark, sf)))
+
+
+QUERIES["op5_secrets"] = op5_secrets
+SQL["op5_secrets"] = secrets.report_sql()
