@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import bayes_join, decontaminate, maxscore, quality, secrets, sentencepieces, toxicity
+from stipple.llm import bayes_join, decontaminate, maxscore, pii, quality, secrets, sentencepieces, toxicity
 from stipple.llm.common import documents, in_fold
+from stipple.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,3 +119,11 @@ def op5_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["op5_secrets"] = op5_secrets
 SQL["op5_secrets"] = secrets.report_sql()
+
+
+def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
+    found = cut(pii.proposed(documents(spark, sf)), "pii")
+    return pii.report(found, pii.train(found))
+
+
+QUERIES["op8_pii"] = op8_pii
