@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import bayes_join, decontaminate, maxscore, pii, quality, secrets, sentencepieces, toxicity
+from stipple.llm import bayes_join, decontaminate, licenses, maxscore, pii, quality, secrets, sentencepieces, toxicity
 from stipple.llm.common import documents, in_fold
 from stipple.session import cut
 
@@ -127,3 +127,11 @@ def op8_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op8_pii"] = op8_pii
+
+
+def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf))
+
+
+QUERIES["op3_licenses"] = op3_licenses
+SQL["op3_licenses"] = licenses.scan_sql()

@@ -20,7 +20,6 @@ from stipple.llm.spans import joined, match_spans
 
 #: strings that one clause may list before it is closed
 MOST_STRINGS = 64
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
@@ -117,13 +116,9 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return clauses
 
 
-def _lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def postings(docs: DataFrame, grams: list[str], text: str = "text") -> DataFrame:
     """gram, row: the rows (column ``row``) in whose text in lower case a gram occurs."""
-    low = docs.select("row", _lower(F.col(text)).alias("low"))
+    low = docs.select("row", F.lower(text).alias("low"))  # matches are ASCII, which stays ASCII and in place
     found = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
     return low.select("row", F.explode(found).alias("gram")).distinct()
 
