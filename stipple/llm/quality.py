@@ -47,20 +47,29 @@ def _powers(n: int, base: int) -> np.ndarray:
     return out
 
 
-def word_hashes(raw: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit polynomial hash of each word and the text it stands in."""
+def word_places(raw: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word and the one after its last; texts lie end to end, and a word ends with its text."""
     inside = ~SPACES[raw]
     edge = np.zeros(raw.size + 1, bool)
-    edge[places] = True  # texts lie end to end: a word ends with its text
+    edge[places] = True
     before = np.concatenate([[False], inside])
     after = np.concatenate([inside, [False]])
-    start = np.flatnonzero(after & (~before | edge))
-    stop = np.flatnonzero(before & (~after | edge))
+    return np.flatnonzero(after & (~before | edge)), np.flatnonzero(before & (~after | edge))
+
+
+def stretch_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit polynomial hash of each stretch of bytes, by differences of one running sum."""
     powers = _powers(raw.size, _ODD)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1])])
     back = _powers(raw.size, pow(_ODD, -1, 1 << 64))
     codes = (total[stop] - total[start]) * back[start]
-    return codes ^ codes >> np.uint64(31), np.searchsorted(places, start, "right") - 1
+    return codes ^ codes >> np.uint64(31)
+
+
+def word_hashes(raw: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word and the text it stands in."""
+    start, stop = word_places(raw, places)
+    return stretch_hashes(raw, start, stop), np.searchsorted(places, start, "right") - 1
 
 
 def features(raw: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None, int]]:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import bayes_join, decontaminate, licenses, maxscore, pii, quality, secrets, sentencepieces, toxicity
+from stipple.llm import bayes_join, decontaminate, licenses, maxscore, pii, quality, secrets, sentencepieces, suffix_tree, toxicity
 from stipple.llm.common import documents, in_fold
 from stipple.session import cut
 
@@ -135,3 +135,10 @@ def op3_licenses(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["op3_licenses"] = op3_licenses
 SQL["op3_licenses"] = licenses.scan_sql()
+
+
+def op1_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_tree.score_documents(documents(spark, sf))
+
+
+QUERIES["op1_suffix_tree"] = op1_suffix_tree
