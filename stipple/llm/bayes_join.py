@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from stipple.llm.common import slices, text_bytes
 from stipple.llm.components import components
 from stipple.llm.quality import word_hashes
-from stipple.session import Scratch
+from stipple.session import Scratch, cut
 
 WORDS = 5
 THRESHOLD, TOLERANCE = 0.8, 1e-5
@@ -280,9 +280,10 @@ def _verify(need: tuple[int, ...], threshold: float) -> Callable:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, key: str = "doc_id",
                     text: str = "text") -> DataFrame:
-    """key, k (hash of the text), class_id, n_copies, n_text_links, n_links of every row.
+    """key, k (hash of the text), class_id, class_k, n_copies, n_text_links, n_links of every row.
 
-    ``class_id`` is the least key of all rows that links and copies connect.
+    ``class_id`` is the least key of all rows that links and copies connect,
+    and with ``class_k`` it names the row that stands for them.
     ``n_copies`` counts the rows with the same shingle set, itself included;
     ``n_text_links`` the other sets within the threshold; ``n_links`` all
     other rows within it, copies included.  Texts without a word (null, empty,
@@ -297,7 +298,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     sketches = scratch.save(slim.mapInArrow(
         _sketch(key, text), f"`{key}` {kind}, k bigint, rid binary, n bigint, sig binary"), "sketches")
     reps = scratch.save(sketches.where("rid is not null").groupBy("rid").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(key).alias("least"), F.min(F.struct(key, "k")).alias("at"),
+        F.count(F.lit(1)).alias("copies"), F.min(F.when(F.col(key).isNotNull(), F.struct(key, "k"))).alias("least"),
+        F.min(F.struct(key, "k")).alias("at"),
         F.first("n").alias("n"), F.first("sig").alias("sig")), "reps")
 
     # buckets with at least two representatives; of buckets with the same members one is enough
@@ -325,27 +327,32 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     classes = components(links.select(F.col("rid").alias("a"), F.col("tie").alias("b")))
     counted = links.groupBy("rid").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
 
-    named = (reps.select("rid", "copies", "least").join(counted, "rid", "left")
+    named = (reps.select("rid", "copies", "least", "at").join(counted, "rid", "left")
              .join(classes.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")))
-    ids = named.groupBy("root").agg(F.min("least").alias("class_id"))
-    named = scratch.save(named.join(ids, "root").select("rid", "class_id", "copies", "texts", "docs"), "named")
+    first = named.groupBy("root").agg(F.coalesce(F.min("least"), F.min("at")).alias("first"))
+    named = scratch.save(named.join(first, "root").select(
+        "rid", F.col(f"first.{key}").alias("class_id"), F.col("first.k").alias("class_k"), "copies", "texts", "docs"), "named")
     rows = sketches.select(key, "k", "rid").join(named, "rid", "left")
     return rows.select(
         key, "k", F.when(F.col("rid").isNull(), F.col(key)).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_k", "k").alias("class_k"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"), F.coalesce("texts", F.lit(0)).cast("bigint").alias("n_text_links"),
         (F.coalesce("docs", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, key: str = "doc_id",
                 text: str = "text") -> DataFrame:
-    """Rows of ``docs``, all columns: of each class the row of least key, of rows that share it one.
+    """Rows of ``docs``, all columns: of each class the row of least key, one where equal rows share it.
 
     Rows without a word in their text have no class and all stay.
     """
     near = near_duplicates(docs, threshold, tolerance, key, text)
-    stays = near.where(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("__key"), F.col("k").alias("__k")).distinct()
-    marked = docs.withColumn("__text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    first = F.col(key).eqNullSafe(F.col("class_id")) & (F.col("k") == F.col("class_k"))
+    stays = cut(near.where(first).groupBy(F.col(key).alias("__key"), F.col("k").alias("__k")).agg(F.count(F.lit(1)).alias("__n")), "stays")
+    words = F.coalesce(F.col(text), F.lit(""))
+    wordless = ~words.rlike(r"[^\x09-\x0D ]")
+    marked = docs.where(~wordless).withColumn("__text", F.xxhash64(words))
     kept = marked.join(stays, marked[key].eqNullSafe(stays["__key"]) & (marked["__text"] == stays["__k"]))
-    wordless = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x09-\x0D ]")
-    some = kept.where(~wordless).dropDuplicates([key])
-    return some.select(*docs.columns).unionByName(docs.where(wordless))
+    single = kept.where("__n = 1").select(*docs.columns)
+    repeated = kept.where("__n > 1").dropDuplicates(["__key", "__k"]).select(*docs.columns)
+    return single.unionByName(repeated).unionByName(docs.where(wordless))
