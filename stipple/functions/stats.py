@@ -18,12 +18,43 @@ def _f(x) -> np.ndarray:
     return np.asarray(x, dtype=np.float64)
 
 
+#: fixed values: coefficients of Stirling's series for the logarithm of the gamma function
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+
+
 def _lgamma(x: np.ndarray) -> np.ndarray:
-    return np.array([math.lgamma(v) for v in x])
+    """Logarithm of the gamma function for x > 0: Stirling's series after moving the argument up to 10 or more."""
+    x = _f(x)
+    low = x < 10
+    up = np.where(low, x + 10, x)
+    shift = np.zeros(x.shape)
+    for k in range(10):
+        shift += np.where(low, np.log(np.where(low, x + k, 1.0)), 0.0)
+    inverse = 1 / up
+    series = sum(c * inverse ** (2 * i + 1) for i, c in enumerate(STIRLING))
+    return (up - 0.5) * np.log(up) - up + 0.5 * math.log(2 * math.pi) + series - shift
 
 
 def _erfc(x: np.ndarray) -> np.ndarray:
-    return np.array([math.erfc(v) for v in x])
+    return np.fromiter(map(math.erfc, _f(x).tolist()), np.float64)
+
+
+#: from this shape on the incomplete gamma function is taken from its uniform expansion
+LARGE_SHAPE = 1e5
+
+
+def _gamma_lower_large(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """P(a, x) for large a by Temme's uniform expansion, with an error of the order 1 / a^1.5."""
+    mu = x / a - 1
+    near = np.abs(mu) < 1e-2
+    m = np.where(near, mu, 0.0)
+    # half the square of eta: mu - log(1 + mu), by its series near 0
+    half = np.where(near, m * m * (1 / 2 - m * (1 / 3 - m * (1 / 4 - m * (1 / 5 - m * (1 / 6 - m / 7))))), mu - np.log1p(mu))
+    eta = np.sign(mu) * np.sqrt(2 * half)
+    safe = np.where(near, 1.0, mu), np.where(near, 1.0, eta)
+    first = np.where(near, -1 / 3 + eta / 12 - 2 * eta ** 2 / 135 + eta ** 3 / 864, 1 / safe[0] - 1 / safe[1])
+    rest = np.exp(-a * half) / np.sqrt(2 * np.pi * a) * first
+    return 0.5 * _erfc(-eta * np.sqrt(a / 2)) - rest
 
 
 def gamma_lower(a: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -31,6 +62,10 @@ def gamma_lower(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     a, x = np.broadcast_arrays(_f(a), _f(x))
     out = np.zeros(a.shape)
     pos = x > 0
+    large = pos & (a >= LARGE_SHAPE)
+    if large.any():
+        out[large] = np.clip(_gamma_lower_large(a[large], x[large]), 0.0, 1.0)
+        pos = pos & ~large
     a1, x1 = a[pos], x[pos]
     if a1.size == 0:
         return out
@@ -48,6 +83,8 @@ def gamma_lower(a: np.ndarray, x: np.ndarray) -> np.ndarray:
             total += term
             if np.all(term <= total * 1e-16):
                 break
+        else:
+            raise ArithmeticError("the series of the incomplete gamma function did not converge")
         res[series] = total * scale[series]
     frac = ~series
     if frac.any():  # modified Lentz evaluation of the continued fraction for Q
@@ -68,6 +105,8 @@ def gamma_lower(a: np.ndarray, x: np.ndarray) -> np.ndarray:
             h *= step
             if np.all(np.abs(step - 1) < 1e-15):
                 break
+        else:
+            raise ArithmeticError("the continued fraction of the incomplete gamma function did not converge")
         res[frac] = 1 - scale[frac] * h
     out[pos] = np.clip(res, 0.0, 1.0)
     return out
@@ -161,8 +200,8 @@ def student_t_upper(df: pd.Series) -> pd.Series:
     return pd.Series([t_quantile(0.975, float(d)) for d in df], dtype="float64")
 
 
-#: above this many U values the normal tail replaces the exact null
-EXACT_U_LIMIT = 2_000_000
+#: up to so many U values their orderings are counted; beyond, the null is the sum of uniforms that it tends to
+COUNTED_U = 200_000
 
 
 def _u_counts(n1: int, n2: int) -> np.ndarray:
@@ -181,15 +220,31 @@ def _u_counts(n1: int, n2: int) -> np.ndarray:
     return ways
 
 
+def _u_tail_limit(u: float, small: int, large: int) -> float:
+    """P(U >= u), without ties, for one small side and a very large one.
+
+    U is then a sum of ``small`` uniform values up to the order 1 / large;
+    they are scaled to the exact variance and corrected for steps of one.
+    """
+    width = math.sqrt(large * (small + large + 1))
+    x = small / 2 - (u - small * large / 2 - 0.5) / width
+    total = sum((-1) ** k * math.comb(small, k) * (x - k) ** small for k in range(small + 1) if x > k)
+    return min(1.0, max(0.0, total / math.factorial(small)))
+
+
 @F.pandas_udf(T.DoubleType())
 def mann_whitney_p(u: pd.Series, z: pd.Series, n1: pd.Series, n2: pd.Series, tied: pd.Series) -> pd.Series:
     """Two-sided p: exact when a side has at most 8 values and nothing ties."""
     out = []
     for ui, zi, a, b, t in zip(u, z, n1, n2, tied):
         a, b = int(a), int(b)
-        if min(a, b) <= 8 and not t and a * b <= EXACT_U_LIMIT:
-            ways = _u_counts(min(a, b), max(a, b))
+        small, large = min(a, b), max(a, b)
+        if small <= 8 and not t:
             big = max(ui, a * b - ui)
+            if a * b > COUNTED_U:
+                out.append(min(1.0, 2 * _u_tail_limit(big, small, large)))
+                continue
+            ways = _u_counts(small, large)
             out.append(min(1.0, float(2 * ways[int(round(big)):].sum()) / float(ways.sum())))
         else:
             out.append(math.erfc(abs(zi) / math.sqrt(2)) if zi == zi else math.nan)

@@ -27,7 +27,7 @@ def score_genes(
     """
     means = gene_moments(expr, cells).select("gene", F.round("mean", 9).alias("m"))
     ranked = average_ranks(means, [], "m", extra=[F.collect_list("gene").alias("genes")])
-    items = F.greatest(F.lit(1), F.round(F.col("group_n") / float(n_bins - 1)).cast("int"))
+    items = F.greatest(F.lit(1), F.bround(F.col("group_n") / float(n_bins - 1)).cast("int"))
     low_rank = F.col("rank") - (F.col("ties") - 1) / 2
     bins = cut(ranked.select(  # one row per gene, read twice
         F.explode("genes").alias("gene"), F.floor(low_rank / items).alias("bin")
@@ -163,8 +163,9 @@ def rank_genes(
 
 
 def unique_top(rank_table: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """One gene per cluster, greedy in cluster order; a cluster whose genes
-    are all taken falls back to its first.
+    """One gene per cluster, greedy in cluster order (ids that are numbers by
+    their value, before the others); a cluster whose genes are all taken falls
+    back to its first.
 
     Input is the top-k table (clusters x k rows); the greedy pass over it is
     sequential by definition and runs as one fold inside one row.
@@ -173,7 +174,9 @@ def unique_top(rank_table: DataFrame, cluster: str = "cluster") -> DataFrame:
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "gene"))), lambda s: s["gene"]).alias("genes")
     )
     ordered = lists.agg(
-        F.sort_array(F.collect_list(F.struct(F.col(cluster).alias("cluster"), "genes"))).alias("_l")
+        F.sort_array(F.collect_list(F.struct(
+            F.coalesce(F.col(cluster).try_cast("double"), F.lit(float("inf"))).alias("number"),
+            F.col(cluster).alias("cluster"), "genes"))).alias("_l")
     )
     empty = F.array().cast("array<struct<cluster:string,gene:string>>")
     folded = F.aggregate(

@@ -179,7 +179,7 @@ def sort_results(spark, sf):
 # ---- scoring and annotation --------------------------------------------------------------------
 
 SCORE = """gm AS (SELECT gene, ROUND(SUM("value") / (SELECT COUNT(*) FROM cells), 9) m FROM norm GROUP BY gene),
-gb AS (SELECT gene, CAST(FLOOR((RANK() OVER (ORDER BY m) ) / GREATEST(1, CAST(ROUND(COUNT(*) OVER () / {bins}) AS INT))) AS BIGINT) bin FROM gm),
+gb AS (SELECT gene, CAST(FLOOR((RANK() OVER (ORDER BY m) ) / GREATEST(1, CAST(round_even(COUNT(*) OVER () / {bins}, 0) AS INT))) AS BIGINT) bin FROM gm),
 mem AS (SELECT DISTINCT set_name, gene, bin FROM sets JOIN gb USING (gene)),
 pool AS (SELECT bin, gene FROM (SELECT bin, gene, ROW_NUMBER() OVER (PARTITION BY bin ORDER BY md5('{seed}:' || gene)) o FROM gb) WHERE o <= {ctrl}),
 ctl AS (SELECT set_name, p.gene FROM (SELECT DISTINCT set_name, bin FROM mem) b JOIN pool p USING (bin) ANTI JOIN mem m2 ON m2.set_name = b.set_name AND m2.gene = p.gene),

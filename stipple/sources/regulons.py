@@ -42,7 +42,9 @@ def read_regulon(
     reader = spark.read.option("header", True)
     try:
         df = reader.format(fmt).load(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], REGULON)
     if layout == "wide":
         return from_wide(df, db, tfs=tfs)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: partition columns used when a table has them
 PARTITIONED = ("layer",)
@@ -36,7 +37,7 @@ def read_layer(
 ) -> DataFrame:
     """One layer, optionally only some genes; partition pruning picks the
     files and the gene list is a semi join."""
-    df = read_stage(spark, root, name, table).where(f"layer = '{layer}'").select("cell_id", "gene", "value")
+    df = read_stage(spark, root, name, table).where(F.col("layer") == layer).select("cell_id", "gene", "value")
     return df if genes is None else df.join(genes.select("gene"), "gene", "left_semi")
 
 

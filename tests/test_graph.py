@@ -127,3 +127,17 @@ def test_layout_keeps_blobs_apart(vec_table):
     gap = np.linalg.norm(a.mean(0) - b.mean(0))
     assert np.isfinite(y).all() and gap > 1.5 * max(a.std(), b.std())
     assert curve(0.1, 1.0) == pytest.approx((1.577, 0.895), abs=0.02)
+
+
+def test_split_finds_connected_parts_of_long_paths(spark):
+    from stipple.operators.cluster import _split
+    from stipple.session import Scratch
+
+    store = Scratch(spark, "split")
+    pairs = [(f"{i:04d}", f"{i + 1:04d}") for i in range(199)] + [("x1", "x2")]
+    edges = store.save(spark.createDataFrame(
+        [(0, a, b, 1.0) for a, b in pairs] + [(0, b, a, 1.0) for a, b in pairs], "r int, src string, dst string, w double"), "edges")
+    nodes = sorted({n for p in pairs for n in p})
+    state = store.save(spark.createDataFrame([(0, n, "c", 1.0) for n in nodes], "r int, node string, comm string, k double"), "state")
+    got = {r.node: r.comm for r in _split(store, edges, state).collect()}
+    assert {got[f"{i:04d}"] for i in range(200)} == {"0000"} and got["x1"] == got["x2"] != "0000"
