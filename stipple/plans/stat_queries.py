@@ -275,11 +275,36 @@ def rank_genes_pvalues(spark, sf):
         "cluster", "gene", "rank", "z", "pvalue", "padj", "significant"))
 
 
-@query("unique_top_genes", None)
+FOLD = """, best AS (SELECT cluster, list(gene ORDER BY rk) genes FROM (
+    SELECT cluster, gene, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY z DESC, gene) rk FROM zz) WHERE rk <= 20 GROUP BY cluster),
+ordered AS (SELECT cluster, genes, ROW_NUMBER() OVER (ORDER BY COALESCE(TRY_CAST(cluster AS DOUBLE), 'inf'::DOUBLE), cluster) i FROM best),
+fold(i, taken, cluster, gene) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+  UNION ALL
+  SELECT i, list_append(taken, pick), cluster, pick FROM (
+    SELECT o.i, f.taken, o.cluster, COALESCE(list_filter(o.genes, lambda g: NOT list_contains(f.taken, g))[1], o.genes[1]) pick
+    FROM fold f JOIN ordered o ON o.i = f.i + 1))
+SELECT cluster, gene FROM fold WHERE i > 0"""
+
+
+@query("unique_top_genes", (with_(CELLS, COUNTS, NORM, RANKS) + FOLD).replace("WITH ", "WITH RECURSIVE ", 1).replace(" , best", ", best"))
 def unique_top_genes(spark, sf):
     return score.unique_top(score.rank_genes(norm_layer(spark, sf), tb.basket_cells(spark, sf)))
 
 
+#: 25 clusters whose ids are numbers: their order is not that of their texts
+NATION_CELLS = CELLS.replace("c_mktsegment cluster", "CAST(c_nationkey AS VARCHAR) cluster")
+
+
+@query("unique_top_genes_nations",
+       (with_(NATION_CELLS, COUNTS, NORM, RANKS) + FOLD).replace("WITH ", "WITH RECURSIVE ", 1).replace(" , best", ", best"))
+def unique_top_genes_nations(spark, sf):
+    nation = tb.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("cell_id"), F.col("c_nationkey").cast("string").alias("cluster"))
+    cells = tb.basket_cells(spark, sf).drop("cluster").join(nation, "cell_id")
+    return score.unique_top(score.rank_genes(norm_layer(spark, sf), cells))
+
+
 @query("marker_summary", with_(CELLS, COUNTS, NORM, PANELS) + """, sz AS (SELECT cluster, COUNT(*) nc FROM cells GROUP BY cluster),
 mk AS (SELECT DISTINCT set_name, gene FROM sets SEMI JOIN norm USING (gene)),
 dense AS (SELECT gene, cell_id, COALESCE("value", 0) v FROM (SELECT * FROM (SELECT DISTINCT gene FROM mk), (SELECT cell_id FROM cells)) LEFT JOIN norm USING (gene, cell_id)),
