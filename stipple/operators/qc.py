@@ -30,9 +30,9 @@ def cell_qc(
 ) -> DataFrame:
     """Per-cell totals, genes detected, flagged shares (0-100) and top share.
 
-    Cells without counts keep zero totals and null shares.  Totals combine
-    map-side; the top share shuffles at most ``top`` rows per cell and input
-    partition because the rank limit is applied before the exchange.
+    Cells without counts keep zero totals and null shares.  With a top share
+    the counts are read once and hashed by cell once: ranks and all sums share
+    that partitioning (a cell has at most one row per gene).
     """
     require(counts, "cell_id", "gene", "n")
     flagged = counts
@@ -48,17 +48,11 @@ def cell_qc(
         F.sum(F.when(F.col(f), F.col("n")).otherwise(0.0)).alias(f"total_counts_{f}")
         for f in flags
     ]
-    per_cell = flagged.groupBy("cell_id").agg(*aggs)
     if top:
         w = Window.partitionBy("cell_id").orderBy(F.desc("n"))
-        best = (
-            counts.select("cell_id", "n")
-            .withColumn("rn", F.row_number().over(w))
-            .where(F.col("rn") <= top)
-            .groupBy("cell_id")
-            .agg(F.sum("n").alias("_top"))
-        )
-        per_cell = per_cell.join(best, "cell_id", "left")
+        flagged = flagged.withColumn("_rn", F.row_number().over(w))
+        aggs.append(F.sum(F.when(F.col("_rn") <= top, F.col("n"))).alias("_top"))
+    per_cell = flagged.groupBy("cell_id").agg(*aggs)
     out = cells.join(per_cell, "cell_id", "left")
     sums = ["total_counts", *[f"total_counts_{f}" for f in flags]]
     out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in sums})
