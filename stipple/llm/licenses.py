@@ -92,9 +92,12 @@ def _any(found: list[Column]) -> Column:
 
 def blocks(words: Column) -> Column:
     """Structs start, held (distinct words) of the blocks."""
-    every = F.split(F.trim(words), " ")
-    return F.transform(F.sequence(F.lit(0), F.size(every) - 1, F.lit(STRIDE)),
-                       lambda s: F.struct(s.alias("start"), F.array_distinct(F.slice(every, s + 1, BLOCK)).alias("held")))
+
+    def cut(every: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(every) - 1, F.lit(STRIDE)),
+                           lambda s: F.struct(s.alias("start"), F.array_distinct(F.slice(every, s + 1, BLOCK)).alias("held")))
+
+    return F.flatten(F.transform(F.array(F.split(F.trim(words), " ")), cut))  # a lambda's argument is split once
 
 
 def contained(docs: DataFrame, frequency: dict[str, int], templates: list[Template] = TEMPLATES) -> DataFrame:
@@ -110,7 +113,8 @@ def contained(docs: DataFrame, frequency: dict[str, int], templates: list[Templa
     whole = F.broadcast(spark.createDataFrame(list(enumerate(ranked)), "template int, ranks array<int>"))
     number = F.create_map(*[x for w, n in order.items() for x in (F.lit(w), F.lit(n))])
     vocabulary = F.array(*map(F.lit, names))
-    some = docs.where(_any([F.contains("words", F.lit(f" {w} ")) for w in first_words]))
+    # inside the lambda the words are at hand; in a plain filter they would be made anew for every comparison
+    some = docs.where(F.exists(F.array("words"), lambda t: _any([F.contains(t, F.lit(f" {w} ")) for w in first_words])))
     cut = some.select("row", F.explode(blocks(F.col("words"))).alias("b")).select(
         "row", "b.start", F.array_intersect("b.held", vocabulary).alias("held"))
     cut = cut.where(F.size("held") >= min(t.needed for t in templates))
