@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 SHARD, BLOCK = 4096, 256
 #: candidates of a shard that are scored fully to set the first threshold
 SEED = 256
+#: non-essential terms that are probed at a time
+PROBE = 8
+#: blocks are probed as a whole until this part of the candidates is left
+FEW = 8
 
 
 def integer_components(vector: Column, scale: int = 64) -> Column:
@@ -55,36 +59,58 @@ def search_shard(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     terms = np.ascontiguousarray(rows[order].T.astype(kind))
+    queries = queries.astype(kind)
     low, high = (terms.min(1), terms.max(1)) if len(ids) else (terms.sum(1), terms.sum(1))
-    first = np.asarray(queries.astype(kind) @ terms[:, :SEED])
-    for number, (own, q) in enumerate(zip(query_ids, queries.astype(kind), strict=True)):
-        other = ids != own
-        ends = np.stack([q * low, q * high])
-        least, bound = ends.min(0), ends.max(0) - ends.min(0)
-        base = least.sum()
-        seeded = first[number][other[:SEED]]
-        enough = len(seeded) >= k
-        threshold = np.partition(seeded, len(seeded) - k)[len(seeded) - k] if enough else -np.inf
-        falling = np.argsort(-bound, kind="stable")
-        rest = np.concatenate([np.cumsum(bound[falling][::-1])[::-1], [0]])  # what the terms from here on can add
-        essential = len(q) if not enough else int((rest > threshold - base).sum())
-        got = np.full(len(ids), base, kind)
-        for d in falling[:essential]:
-            if q[d]:
-                got += q[d] * terms[d] - least[d]
-        alive = np.flatnonzero(other & (got + rest[min(essential, len(q))] >= threshold))
-        got = got[alive]
-        for place in range(essential, len(q)):
-            d = falling[place]
-            got += q[d] * terms[d, alive] - least[d]
-            if len(got) > k:
-                kth = np.partition(got, len(got) - k)[len(got) - k]
-                threshold = max(threshold, kth)  # what a candidate has it keeps: later terms only add
-            stay = got + rest[place + 1] >= threshold
-            if not stay.all():
-                alive, got = alive[stay], got[stay]
-        best = np.lexsort((alive, -got))[:k]
-        yield number, order[alive[best]], got[best].astype(np.int64)
+    ends = np.stack([queries * low, queries * high])
+    least, most = ends.min(0), ends.max(0)
+    falling = np.argsort(least - most, axis=1, kind="stable")
+
+    def rest(x: np.ndarray) -> np.ndarray:
+        """What the terms from each place of the falling order on add together."""
+        sums = np.cumsum(np.take_along_axis(x, falling, 1)[:, ::-1], 1)[:, ::-1]
+        return np.append(sums, np.zeros((len(sums), 1), sums.dtype), 1)
+
+    least, most = rest(least), rest(most)
+    first = queries @ terms[:, :SEED]
+    start = np.full(len(queries), -np.inf)
+    for number, own in enumerate(query_ids):
+        seeded = first[number][ids[:SEED] != own]
+        if len(seeded) >= k:
+            start[number] = np.partition(seeded, len(seeded) - k)[len(seeded) - k]
+    # non-essential: terms that cannot lift a candidate from the least possible score over the threshold
+    essential = np.where(start == -np.inf, queries.shape[1], (most - least > (start - least[:, 0])[:, None]).sum(1))
+    width, place, threshold = queries.shape[1], np.zeros(len(queries), int), start
+    partial = np.zeros((len(queries), len(ids)), kind)
+    each, column = np.arange(len(queries)), np.arange(width)
+    upto = np.minimum(essential, width)
+    foreign = ids != np.asarray(query_ids)[:, None]
+    while True:  # essential terms, then probes for all queries of the block while many candidates are left
+        inside = (column >= place[:, None]) & (column < upto[:, None])
+        chosen = np.zeros_like(queries)
+        np.put_along_axis(chosen, falling, np.where(inside, np.take_along_axis(queries, falling, 1), 0), 1)
+        partial += chosen @ terms
+        place = upto
+        alive = (partial >= (threshold - most[each, place])[:, None]) & foreign
+        if not len(ids) or place.min(initial=width) == width or np.median(alive.sum(1)) <= len(ids) / FEW:
+            break
+        upto = np.minimum(place + PROBE, width)
+    for number in range(len(queries)):
+        q, at, limit = queries[number], int(place[number]), threshold[number]
+        rows_left = np.flatnonzero(alive[number])
+        got = partial[number, rows_left]
+        while at < width:
+            probe = falling[number, at:at + PROBE]
+            at = min(at + PROBE, width)
+            got = got + q[probe] @ terms[probe[:, None], rows_left]
+            if len(got) > k:  # the k-th best of what candidates have for certain
+                limit = max(limit, np.partition(got, len(got) - k)[len(got) - k] + least[number, at])
+            stay = got + most[number, at] >= limit
+            rows_left, got = rows_left[stay], got[stay]
+        if len(got) > 4 * k:
+            stay = got >= np.partition(got, len(got) - k)[len(got) - k]
+            rows_left, got = rows_left[stay], got[stay]
+        best = np.lexsort((rows_left, -got))[:k]
+        yield number, order[rows_left[best]], got[best].astype(np.int64)
 
 
 def _search(k: int):
