@@ -16,8 +16,8 @@ from stipple.operators.summary import gate
 from stipple.operators.vectors import matrix
 from stipple.session import cut
 
-#: permutations handled by one task
-PERMUTATIONS_PER_TASK = 125
+#: permutations whose weights a task holds at once, and cells of a block
+PERMUTATIONS_PER_TASK, PERMUTATION_BLOCK = 125, 2048
 
 
 def energy_distance(
@@ -40,62 +40,111 @@ def energy_distance(
     return ok.join(g, by).select(by, "n_ref", "n_test", e.alias("edistance"))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _shuffled(index: np.ndarray, n: int, key: int, turns: np.ndarray) -> np.ndarray:
+    """Place of each ``index`` (of 0 .. n - 1) in each of the permutations ``turns``, cell by permutation.
+
+    A Feistel network whose places past n walk on: every place is known without the others, and none occurs twice.
+    """
+    half = np.uint64(max(1, -(-(n - 1).bit_length() // 2)))
+    low = (np.uint64(1) << half) - np.uint64(1)
+    keys = _mixed(_mixed(np.uint64(key) + np.asarray(turns, np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+                  + np.arange(1, 9, dtype=np.uint64)[:, None] * np.uint64(0xD1B54A32D192ED03))
+    x = np.repeat(np.asarray(index, np.uint64)[:, None], len(turns), axis=1).reshape(-1)
+    todo = np.arange(len(x))
+    while len(todo):
+        left, right = x[todo] >> half, x[todo] & low
+        for k in keys:
+            left, right = right, left ^ _mixed(right + k[todo % len(turns)]) & low
+        x[todo] = left << half | right
+        todo = todo[x[todo] >= n]
+    return x.reshape(len(index), len(turns)).astype(np.int64)
+
+
 def permutation_test(
     points: DataFrame, by: str = "cluster", ref: str = "WT", test: str = "KO", n_perms: int = 999,
-    cap: int = 400, min_n: int = 5, seed: int = 42, per_task: int = PERMUTATIONS_PER_TASK,
+    cap: int | None = None, min_n: int = 5, seed: int = 42, per_task: int = PERMUTATIONS_PER_TASK,
+    block: int = PERMUTATION_BLOCK,
 ) -> DataFrame:
     """Permutation p-values of the energy distance per group.
 
-    As in the analysis this reproduces, each side is a random sample of
-    min(n_ref, n_test, cap) cells; the sample is drawn by id hash, so it does
-    not depend on partitioning.  Observed and permuted statistics use the same
-    sample.  Work is a grid of (group x batch of permutations); a task holds
-    at most 2 * cap vectors.
+    All cells enter the observed and every permuted statistic, which are sums
+    over pairs of blocks for all permutations at once.  With a ``cap`` each
+    statistic takes min(n_ref, n_test, cap) cells a side, drawn anew from all
+    cells of the group in every permutation.  Cells are numbered by id hash and
+    id, so permutations do not depend on partitioning.  A task holds one block
+    pair and the weights of ``per_task`` permutations.
     """
     points = cut(points.where(F.col("condition").isin(ref, test)).select(
         "cell_id", F.col(by).cast("string").alias(by), "condition", "vec"), "permute")
     ok = gate(points, by, "condition", ref, test, min_n)
-    order = Window.partitionBy(by, "condition").orderBy(F.xxhash64(F.lit(seed), "cell_id"), "cell_id")
-    sample = (
-        points.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= cap)
-        .join(ok, by).where(F.col("rn") <= F.least("n_ref", "n_test"))
-    )
-    n_tasks = -(-n_perms // per_task)
-    grid = sample.select(
-        by, "cell_id", "condition", "vec",
-        F.explode(F.sequence(F.lit(0), F.lit(n_tasks - 1))).alias("batch"),
-    )
+    placed = points.join(ok, by).withColumn("nb", F.ceil((F.col("n_ref") + F.col("n_test")) / block).cast("int")).withColumn(
+        "blk", F.pmod(F.xxhash64("cell_id"), F.col("nb")).cast("int"))
+    # numbers from 0 in the group and on the cell's side: those of the blocks before and the rank in the block
+    is_test = F.col("condition") == test
+    sizes = placed.groupBy(by, "blk").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_test).alias("t"))
+    before = Window.partitionBy(by).orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    sizes = sizes.select(by, "blk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
+                         F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"))
+    inside = Window.partitionBy(by, "blk").orderBy("cell_id")  # one block
+    sided = Window.partitionBy(by, "blk", "condition").orderBy("cell_id")
+    placed = placed.join(sizes, [by, "blk"]).withColumn("place", F.col("n0") + F.row_number().over(inside) - 1).withColumn(
+        "own", F.when(is_test, F.col("t0")).otherwise(F.col("n0") - F.col("t0")) + F.row_number().over(sided) - 1)
+    sent = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
+        by, F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "place", "own",
+        is_test.alias("is_test"), "n_ref", "n_test", "vec")
 
     def run(t: pa.Table) -> pa.Table:
-        ids = t.column("cell_id").to_numpy()
-        t = t.take(pa.array(np.argsort(ids, kind="stable")))
-        x, group = matrix(t), t.column(by)[0].as_py()
-        batch = int(t.column("batch")[0].as_py())
-        is_test = np.array(t.column("condition").to_pylist()) == test
-        side = np.where(is_test, 1.0 / is_test.sum(), -1.0 / (~is_test).sum())
-        d = np.sqrt(_squared(x, x))
-        np.fill_diagonal(d, 0.0)
-        perms = range(batch * per_task, min((batch + 1) * per_task, n_perms))
-        tag = zlib.crc32(group.encode())
-        v = np.column_stack([side] + [
-            np.random.default_rng([seed, tag, p]).permutation(side) for p in perms])
-        stat = -(v * (d @ v)).sum(axis=0)
-        reached = int((stat[1:] >= stat[0] - 1e-12).sum())
-        return pa.table({
-            by: pa.array([group], pa.string()), "observed": pa.array([stat[0]]),
-            "reached": pa.array([reached], pa.int64()), "perms": pa.array([len(perms)], pa.int64())})
-
-    per = grid.groupBy(by, "batch").applyInArrow(
-        run, f"{by} string, observed double, reached bigint, perms bigint")
-    return ok.join(per.groupBy(by).agg(
-        F.max("observed").alias("edistance_sample"),
-        ((F.sum("reached") + 1) / (F.sum("perms") + 1)).alias("pvalue"),
-    ), by).select(by, "n_ref", "n_test", "edistance_sample", "pvalue")
+        t = t.take(pa.array(np.argsort(t.column("place").to_numpy(), kind="stable")))
+        group, x, blk = t.column(by)[0].as_py(), matrix(t), t.column("blk").to_numpy()
+        i, j, n_ref, n_test = (int(t.column(c)[0].as_py()) for c in ("i", "j", "n_ref", "n_test"))
+        place, own = t.column("place").to_numpy(), t.column("own").to_numpy()
+        tested = t.column("is_test").to_numpy()
+        a, b = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+        d = _squared(x[a], x[b])
+        norm = (x * x).sum(axis=1)
+        d = np.sqrt(np.where(d <= 1e-14 * (norm[a][:, None] + norm[b][None, :]), 0.0, d))
+        key = zlib.crc32(group.encode()) << 32 | seed & 0xFFFFFFFF
+        m_test, m_ref = (n_test, n_ref) if cap is None else (min(n_ref, n_test, cap),) * 2
+
+        def weights(turns: np.ndarray) -> np.ndarray:
+            at = _shuffled(place, n_ref + n_test, key, turns)
+            return np.where(at < m_test, 1.0 / m_test, np.where(at < m_test + m_ref, -1.0 / m_ref, 0.0))
+
+        drawn = own
+        if cap is not None:
+            drawn = np.empty(len(own), np.int64)
+            for side, n in ((tested, n_test), (~tested, n_ref)):
+                drawn[side] = _shuffled(own[side], n, key, np.zeros(1, np.int64))[:, 0]
+        observed = np.where(tested, (drawn < m_test) / m_test, (drawn < m_ref) / -m_ref)
+        stats = []
+        for at in range(0, n_perms + 1, per_task):
+            turns = np.arange(at, min(at + per_task, n_perms + 1))
+            v = weights(turns)
+            if at == 0:
+                v[:, 0] = observed
+            stats.append(-(v[a] * (d @ v[b])).sum(axis=0))
+        stat = np.concatenate(stats) * (1 if i == j else 2)
+        return pa.table({by: pa.array([group] * len(stat), pa.string()), "p": pa.array(np.arange(len(stat))), "part": pa.array(stat)})
+
+    parts = sent.groupBy(by, "i", "j").applyInArrow(run, f"{by} string, p bigint, part double")
+    per = cut(parts.groupBy(by, "p").agg(F.sum("part").alias("stat")), "statistics")
+    seen = per.where("p = 0").select(by, F.col("stat").alias("edistance_sample"))
+    # equal splits of the cells may differ in rounding
+    reached = F.col("stat") >= F.col("edistance_sample") - 1e-12 - 1e-9 * F.abs("edistance_sample")
+    counts = per.join(seen, by).groupBy(by).agg(
+        F.max("edistance_sample").alias("edistance_sample"), (F.count_if(reached) / (n_perms + 1)).alias("pvalue"))
+    return ok.join(counts, by).select(by, "n_ref", "n_test", "edistance_sample", "pvalue")
 
 
 def expression_shift(
     points: DataFrame, by: str = "cluster", ref: str = "WT", test: str = "KO", n_perms: int = 999,
-    cap: int = 400, min_n: int = 5, seed: int = 42, alpha: float = 0.05,
+    cap: int | None = None, min_n: int = 5, seed: int = 42, alpha: float = 0.05,
 ) -> DataFrame:
     """Energy distance over all cells with permutation p and BH adjustment."""
     points = cut(points.select("cell_id", F.col(by).cast("string").alias(by), "condition", "vec"), "shift")

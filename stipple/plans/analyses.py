@@ -90,7 +90,7 @@ def integrate(
 def contrast(
     cells: DataFrame, embedding: DataFrame, label_map: DataFrame, ref: str = "WT", test: str = "KO",
     exclude: str | None = None, min_cells: int = 200, deny: Sequence[str] = (), dims: int = 50,
-    n_perms: int = 999, cap: int = 400,
+    n_perms: int = 999, cap: int | None = None,
 ) -> dict[str, DataFrame]:
     """Compositional, distributional and axis tests between two conditions on
     annotated cells: tables ``composition``, ``shift`` and ``axis``."""

@@ -141,3 +141,29 @@ def test_split_finds_connected_parts_of_long_paths(spark):
     state = store.save(spark.createDataFrame([(0, n, "c", 1.0) for n in nodes], "r int, node string, comm string, k double"), "state")
     got = {r.node: r.comm for r in _split(store, edges, state).collect()}
     assert {got[f"{i:04d}"] for i in range(200)} == {"0000"} and got["x1"] == got["x2"] != "0000"
+
+
+def test_permutations_use_all_cells(vec_table):
+    rng = np.random.default_rng(8)
+    n = 1500
+    cond = np.where(np.arange(n) < 900, "WT", "KO")
+    x = rng.normal(size=(n, 3)) + 0.12 * (cond == "KO")[:, None]
+    t = vec_table(x, cluster=np.zeros(n, int), condition=cond)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    v = np.where(cond == "KO", 1 / 600, -1 / 900)
+    a = shift.permutation_test(t, n_perms=99).toPandas()
+    assert a.edistance_sample[0] == pytest.approx(-v @ d @ v, rel=1e-9)
+    b = shift.permutation_test(t, n_perms=99, block=300).toPandas()  # 15 block pairs
+    assert b.edistance_sample[0] == pytest.approx(-v @ d @ v, rel=1e-9)
+    null = [-w @ d @ w for w in (rng.permutation(v) for _ in range(999))]
+    dense = (1 + sum(s >= -v @ d @ v for s in null)) / 1000
+    assert abs(a.pvalue[0] - dense) < 0.06 and abs(b.pvalue[0] - dense) < 0.06
+
+
+def test_shuffled_places():
+    at = shift._shuffled(np.arange(10), 10, 7, np.arange(4000))
+    assert (np.sort(at, axis=0) == np.arange(10)[:, None]).all()
+    first = np.bincount(np.sort(at.argsort(axis=0)[:2], axis=0)[0] * 10 + np.sort(at.argsort(axis=0)[:2], axis=0)[1], minlength=100)
+    assert (first > 0).sum() == 45 and first.max() < 150 and first[first > 0].min() > 45  # each pair near 4000 / 45 = 89
+    big = shift._shuffled(np.arange(5000), 5000, 7, np.arange(3))
+    assert (np.sort(big, axis=0) == np.arange(5000)[:, None]).all()
