@@ -167,3 +167,29 @@ def _sliced_quantiles(table: DataFrame, keys: list[str], probs: dict[str, float]
 def median(df: DataFrame, by: Sequence[str], column: str, alias: str = "median") -> DataFrame:
     """Exact median of one column per group: ``by, alias``."""
     return quantiles(df, by, [column], {alias: 0.5}).select(*by, alias)
+
+
+def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "rank",
+             size: str | None = None) -> DataFrame:
+    """Rows numbered 0, 1, ... in the order of ``order`` within each ``by``.
+
+    The rows are cut into ranges of (by, order), sorted and written once with
+    their place in the range; the few totals per (by, range) then give every
+    range its first number.  No task sorts more than a range, however large
+    the table or a group is.  ``size`` names a column for the rows of the
+    group.  Nulls come first and are a group of their own.  Rows that tie on
+    ``by`` and ``order`` share a range and are numbered in any order.
+    """
+    by, keys = list(by), [*by, *order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    # the id of a row is its partition times 2^33 plus its place there
+    placed = cut(placed, "numbered").withColumns({
+        "_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    totals = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_in_range"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy(*by)  # one row per range
+    before = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        *by, "_range", (F.coalesce(F.sum("_in_range").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
+        *([F.sum("_in_range").over(whole).alias(size)] if size else []))
+    return _join(placed, totals, [*by, "_range"]).withColumn(name, F.col("_at") + F.col("_shift")).drop(
+        "_at", "_range", "_shift")
