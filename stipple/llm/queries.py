@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import bayes_join, decontaminate, licenses, maxscore, pii, quality, secrets, sentencepieces, suffix_tree, toxicity
+from stipple.llm import bayes_join, decontaminate, licenses, maxscore, merkle, pii, quality, secrets, sentencepieces, suffix_tree, toxicity
 from stipple.llm.common import documents, in_fold
 from stipple.session import cut
 
@@ -142,3 +142,11 @@ def op1_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES["op1_suffix_tree"] = op1_suffix_tree
+
+
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.audit(documents(spark, sf), {"text": merkle.tampered_text()})
+
+
+QUERIES["op11_merkle"] = op11_merkle
+SQL["op11_merkle"] = merkle.audit_sql()
