@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stipple.llm import bayes_join, decontaminate, licenses, maxscore, merkle, pii, quality, secrets, sentencepieces, suffix_tree, toxicity
+from stipple.llm import bayes_join, capfilters, decontaminate, lexical, licenses, maxscore, merkle, pii, quality, secrets, sentencepieces, suffix_tree, toxicity
 from stipple.llm.common import documents, in_fold
 from stipple.session import cut
 
@@ -150,3 +150,19 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["op11_merkle"] = op11_merkle
 SQL["op11_merkle"] = merkle.audit_sql()
+
+
+def op12_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(documents(spark, sf), documents(spark, sf, "benchmark"))
+
+
+QUERIES["op12_lexical"] = op12_lexical
+SQL["op12_lexical"] = lexical.search_sql()
+
+
+def op13_capfilters(spark: SparkSession, sf: str) -> DataFrame:
+    return capfilters.links(documents(spark, sf, "embeddings")).drop("n_text_links")
+
+
+QUERIES["op13_capfilters"] = op13_capfilters
+SQL["op13_capfilters"] = capfilters.LINKS_SQL

@@ -35,6 +35,8 @@ def climb(hashes):
 
 
 def brute(rows):
+    if not rows:
+        return []
     groups = {}
     for r in rows:
         even = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 2 == 0
