@@ -1,10 +1,11 @@
 """Near copies among embeddings by spherical-cap filters.
 
-Filter directions form a random product code: the rotated space is cut into
+Filter directions form random product codes: a rotated space is cut into
 parts, every part has its own random code words, and a direction is one word
-of each.  A vector belongs to the filters whose direction it exceeds; list
-decoding finds them part by part without looking at the others.  Vectors that
-meet in a filter are compared exactly.
+of each.  Several rotations keep the directions from crowding.  A vector
+belongs to the filters whose direction it exceeds; list decoding finds them
+part by part without looking at the others.  Vectors that meet in a filter are
+compared exactly.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from stipple.session import Scratch
 #: least cosine of a link
 THRESHOLD = 0.9
 #: share of pairs at the threshold that meet in a filter
-RECALL = 0.995
-#: filters per vector, at least so many in all
-FILTERS, FEWEST = 8, 4096
-#: code words of a part at most
-WORDS = 1024
+RECALL = 0.99
+#: vectors for each of the filters, of which there are so many at least
+SHARE, FEWEST = 16, 1024
+#: rotations, and code words of a part at most
+TURNS, WORDS = 16, 1024
 #: vectors of a filter that one task compares at once with as many others
 BLOCK = 1024
 #: vectors decoded at once
@@ -36,31 +37,38 @@ STRIP = 256
 
 
 class Code:
-    """Product code of ``words`` ** ``parts`` directions; ``level`` is the height of their caps."""
+    """Product codes of ``words`` ** ``parts`` directions in each of ``turns`` rotations; ``level`` is the height of the caps."""
 
-    def __init__(self, width: int, wanted: int, seed: int = 0):
+    def __init__(self, width: int, wanted: int, seed: int = 0, turns: int = TURNS):
         rng = np.random.default_rng([seed, width])
-        self.parts = max(1, min(width, int(np.ceil(np.log(wanted) / np.log(WORDS)))))
-        self.words = max(2, int(np.ceil(wanted ** (1 / self.parts))))
-        self.turn = np.linalg.qr(rng.standard_normal((width, width)))[0]
+        self.parts = min(width, max(2, int(np.ceil(np.log(wanted / turns) / np.log(WORDS)))))
+        self.words = max(2, int(np.ceil((wanted / turns) ** (1 / self.parts))))
         self.cuts = np.linspace(0, width, self.parts + 1).astype(int)
-        self.books = []
-        for a, b in zip(self.cuts[:-1], self.cuts[1:]):
-            book = rng.standard_normal((self.words, b - a))
-            self.books.append((book / np.linalg.norm(book, axis=1, keepdims=True) / np.sqrt(self.parts)).T)
+        self.turns, self.books = [], []
+        for _ in range(turns):
+            self.turns.append(np.linalg.qr(rng.standard_normal((width, width)))[0])
+            books = [rng.standard_normal((self.words, b - a)) for a, b in zip(self.cuts[:-1], self.cuts[1:])]
+            self.books.append([(k / np.linalg.norm(k, axis=1, keepdims=True) / np.sqrt(self.parts)).T for k in books])
         self.level = 0.0
 
     def decode(self, x: np.ndarray, level: float) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all directions with an inner product of at least ``level``, by row and filter."""
-        y = x @ self.turn
-        hits = [y[:, a:b] @ book for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books)]
-        rest = np.zeros((self.parts + 1, len(x)))
+        found = [self._decode(x @ turn, books, level) for turn, books in zip(self.turns, self.books)]
+        size = self.words ** self.parts
+        row = np.concatenate([r for r, _ in found])
+        code = np.concatenate([c + i * size for i, (_, c) in enumerate(found)])
+        order = np.lexsort((code, row))
+        return row[order], code[order]
+
+    def _decode(self, y: np.ndarray, books: list[np.ndarray], level: float) -> tuple[np.ndarray, np.ndarray]:
+        hits = [y[:, a:b] @ book for a, b, book in zip(self.cuts[:-1], self.cuts[1:], books)]
+        rest = np.zeros((self.parts + 1, len(y)))
         for i in reversed(range(self.parts)):
             rest[i] = rest[i + 1] + hits[i].max(axis=1)
-        row, code, held = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
+        row, code, held = np.arange(len(y)), np.zeros(len(y), np.int64), np.zeros(len(y))
         for i, h in enumerate(hits):
             # words that can reach the level with the best beginning and the best end, then their combinations
-            best = np.full(len(x), -np.inf)
+            best = np.full(len(y), -np.inf)
             np.maximum.at(best, row, held)
             r, word = np.nonzero(h >= (level - rest[i + 1] - best)[:, None])
             first = np.searchsorted(r, row)
@@ -71,13 +79,12 @@ class Code:
             keep = total >= level - rest[i + 1][row[at]]
             at, pick = at[keep], pick[keep]
             row, code, held = row[at], code[at] * self.words + word[pick], total[keep]
-        order = np.lexsort((code, row))
-        return row[order], code[order]
+        return row, code
 
-    def fit(self, threshold: float, recall: float, pairs: int = 1000, seed: int = 1) -> "Code":
+    def fit(self, threshold: float, recall: float, pairs: int = 2000, seed: int = 1) -> "Code":
         """The highest level at which random pairs at the threshold share a filter as often as ``recall`` asks."""
-        rng = np.random.default_rng([seed, len(self.turn)])
-        x, z = (rng.standard_normal((pairs, len(self.turn))) for _ in range(2))
+        rng = np.random.default_rng([seed, self.cuts[-1]])
+        x, z = (rng.standard_normal((pairs, self.cuts[-1])) for _ in range(2))
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         z -= (z * x).sum(axis=1, keepdims=True) * x
         size = np.linalg.norm(z, axis=1, keepdims=True)
@@ -87,17 +94,15 @@ class Code:
             found = 0
             for at in range(0, pairs, STRIP):
                 a, b = (self.decode(v[at:at + STRIP], level) for v in (x, y))
-                n = self.words ** self.parts
+                n = len(self.turns) * self.words ** self.parts
                 both = np.intersect1d(a[0] * n + a[1], b[0] * n + b[1])
                 found += len(np.unique(both // n))
             return found / pairs
 
-        low, high = -1.0, 1.0
-        probe = 0.9
-        while probe > -1.0 and met(probe) < recall:  # long lists are met last
-            high, probe = probe, probe - 0.05
-        low = max(probe, -1.0)
-        for _ in range(5):
+        low, high = 0.9, 1.0
+        while low > -1.0 and met(low) < recall:  # long lists come last
+            high, low = low, low - 0.05
+        for _ in range(6):
             mid = (low + high) / 2
             low, high = (mid, high) if met(mid) >= recall else (low, mid)
         self.level = low
@@ -255,7 +260,7 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     # equal vectors are one from here on
     classes = store.save(usable.where(F.col("width") == width).groupBy("same").agg(
         F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw")), "classes")
-    code = Code(width, max(FEWEST, FILTERS * classes.count()), seed).fit(threshold, recall)
+    code = Code(width, max(FEWEST, classes.count() // SHARE), seed).fit(threshold, recall)
     decoded = store.save(classes.mapInArrow(
         _decoded(spark.sparkContext.broadcast(code), number),
         f"same binary, rep {kind}, copies bigint, raw binary, filters array<bigint>"), "decoded")

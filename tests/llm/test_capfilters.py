@@ -87,22 +87,31 @@ def test_small_tables(spark, rows):
     assert run(spark, rows) == [(k, 0, k, True) for k, _ in rows]
 
 
-@pytest.mark.parametrize("parts", [1, 2, 3])
-def test_list_decoding_finds_all_filters(parts, monkeypatch):
-    monkeypatch.setattr(capfilters, "WORDS", int(np.ceil(512 ** (1 / parts))))
-    code = capfilters.Code(24, 512)
-    assert code.parts == parts
+@pytest.mark.parametrize("parts,words", [(2, 16), (3, 6)])
+def test_list_decoding_finds_all_filters(parts, words, monkeypatch):
+    monkeypatch.setattr(capfilters, "WORDS", words + 1)
+    code = capfilters.Code(24, 4 * words ** parts, turns=4)
+    assert (code.parts, code.words) == (parts, words)
     x = np.random.default_rng(1).standard_normal((50, 24))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    row, filt = code.decode(x, 0.35)
-    y = x @ code.turn
-    total = np.zeros((50, 1))
-    for a, b, book in zip(code.cuts[:-1], code.cuts[1:], code.books):
-        total = (total[:, :, None] + (y[:, a:b] @ book)[:, None, :]).reshape(50, -1)
-    want = np.nonzero(total >= 0.35)
-    assert len(row) and set(zip(row, filt)) == set(zip(*want))
+    row, filt = code.decode(x, 0.3)
+    scores = []
+    for turn, books in zip(code.turns, code.books):
+        total = np.zeros((50, 1))
+        for a, b, book in zip(code.cuts[:-1], code.cuts[1:], books):
+            total = (total[:, :, None] + (x @ turn)[:, None, a:b] @ book).reshape(50, -1)
+        scores.append(total)
+    want = np.nonzero(np.hstack(scores) >= 0.3)
+    assert len(row) and set(zip(row, filt)) == set(zip(*want)) and len(row) == len(want[0])
 
 
 def test_the_level_meets_the_recall():
     code = capfilters.Code(64, 4096).fit(0.9, 0.95)
-    assert 0.1 < code.level < 0.9
+    x = np.random.default_rng(9).standard_normal((2, 500, 64))
+    a = x[0] / np.linalg.norm(x[0], axis=1, keepdims=True)
+    z = x[1] - (x[1] * a).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(1 - 0.81) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    ra, fa = code.decode(a, code.level)
+    rb, fb = code.decode(b, code.level)
+    met = {r for r, _ in set(zip(ra, fa)) & set(zip(rb, fb))}
+    assert len(met) > 0.92 * 500 and len(ra) < 25 * 500
