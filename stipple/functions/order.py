@@ -170,15 +170,16 @@ def median(df: DataFrame, by: Sequence[str], column: str, alias: str = "median")
 
 
 def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "rank",
-             size: str | None = None) -> DataFrame:
+             size: str | None = None, part: str | None = None) -> DataFrame:
     """Rows numbered 0, 1, ... in the order of ``order`` within each ``by``.
 
     The rows are cut into ranges of (by, order), sorted and written once with
     their place in the range; the few totals per (by, range) then give every
     range its first number.  No task sorts more than a range, however large
     the table or a group is.  ``size`` names a column for the rows of the
-    group.  Nulls come first and are a group of their own.  Rows that tie on
-    ``by`` and ``order`` share a range and are numbered in any order.
+    group, ``part`` one for the number of the range, which ascends with the
+    rows of a group.  Nulls come first and are a group of their own.  Rows that
+    tie on ``by`` and ``order`` share a range and are numbered in any order.
     """
     by, keys = list(by), [*by, *order]
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
@@ -191,5 +192,19 @@ def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name:
     totals = totals.select(
         *by, "_range", (F.coalesce(F.sum("_in_range").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         *([F.sum("_in_range").over(whole).alias(size)] if size else []))
-    return _join(placed, totals, [*by, "_range"]).withColumn(name, F.col("_at") + F.col("_shift")).drop(
-        "_at", "_range", "_shift")
+    out = _join(placed, totals, [*by, "_range"]).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_shift")
+    return out.withColumnRenamed("_range", part) if part else out.drop("_range")
+
+
+def running_min_from_end(df: DataFrame, value: Column, by: Sequence[str], at: str, part: str, name: str) -> DataFrame:
+    """Adds the least ``value`` of a row and of all rows after it in its group.
+
+    ``at`` and ``part`` are the number and the range of :func:`numbered`; the
+    minima of the later ranges are carried over, so a window spans one range.
+    """
+    by = list(by)
+    df = df.withColumn("_v", value)
+    later = Window.partitionBy(*by).orderBy(F.desc(part)).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    after = df.groupBy(*by, part).agg(F.min("_v").alias("_low")).select(*by, part, F.min("_low").over(later).alias("_after"))
+    here = Window.partitionBy(*by, part).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return _join(df, after, [*by, part]).withColumn(name, F.least(F.min("_v").over(here), "_after")).drop("_v", "_after")

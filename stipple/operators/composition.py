@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stipple.functions.order import average_ranks, median
+from stipple.functions.order import average_ranks, median, numbered, running_min_from_end
 from stipple.functions.stats import mann_whitney_p, student_t_p, student_t_upper
 from stipple.operators.labels import sample_meta
 from stipple.session import cut
@@ -18,22 +18,19 @@ def bh(
     df: DataFrame, p: str = "pvalue", alpha: float = 0.05, by: Sequence[str] = (),
     tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Benjamini-Hochberg ``padj`` and ``significant``.
+    """Benjamini-Hochberg ``padj`` and ``significant`` within each ``by`` group.
 
-    Meant for tables with one row per test; the window spans the tests of one
-    ``by`` group.
+    Any number of tests: they are numbered over ranges of p-values, and the
+    running minimum from the largest p-value is carried from range to range.
+    ``tie`` orders equal p-values and lets a frequent one spread over ranges.
+    A null p-value is not a test: its ``padj`` and ``significant`` are null.
     """
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    up = group.orderBy(p, *tie)
-    down = group.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    m = F.count(p).over(group)
-    return (
-        df.withColumn("_rank", F.row_number().over(up))
-        .withColumn("_q", F.col(p) * m / F.col("_rank"))
-        .withColumn("padj", F.least(F.lit(1.0), F.min("_q").over(down)))
-        .withColumn("significant", F.col("padj") < alpha)
-        .drop("_rank", "_q")
-    )
+    ranked = numbered(df.where(F.col(p).isNotNull()), [p, *tie], by, "_rank", size="_m", part="_part")
+    q = F.col(p) * F.col("_m") / (F.col("_rank") + 1)
+    tests = running_min_from_end(ranked, q, by, "_rank", "_part", "_q").withColumn(
+        "padj", F.least(F.lit(1.0), "_q")).drop("_rank", "_m", "_part", "_q")
+    untested = df.where(F.col(p).isNull()).withColumn("padj", F.lit(None).cast("double"))
+    return tests.unionByName(untested).withColumn("significant", F.col("padj") < alpha)
 
 
 def significant(df: DataFrame, key: str = "cluster") -> DataFrame:

@@ -1,26 +1,26 @@
 """Exact nearest neighbours, neighbour graphs and pairwise-distance sums.
 
 Points are cut into blocks of bounded size and blocks meet blocks; a task holds
-two blocks, multiplies them with BLAS and returns only the best k per point or
-per-label sums, so pairs of points are never rows of a table.
+two blocks, multiplies tiles of them with BLAS and returns only the best k per
+point or per-label sums, so pairs of points are never rows of a table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stipple.operators.vectors import batches, list_array, matrix, sql_type
-from stipple.session import cut
+from stipple.functions.columns import vec_distance
+from stipple.operators.vectors import batches, matrix, sql_type
+from stipple.session import Scratch, cut
 
 #: points per block; a task holds two blocks
 BLOCK = 4096
-#: most pivots used to prune block pairs
-MAX_PIVOTS = 256
 #: rows of a distance block worked on at once
 STRIP = 512
 
@@ -63,106 +63,186 @@ def _id_ranks(ids: pa.Array) -> np.ndarray:
     return np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1].reshape(-1)
 
 
+#: most children of a tree node, and points that a task gives to children at once
+FAN, ASSIGNED = 64, 16_384
+
+
+def _hash(seed: int, turn: int, key: Column | str = "cell_id") -> Column:
+    return F.xxhash64(F.lit(seed), F.lit(turn), key)
+
+
+def _split_nodes(points: DataFrame, big: DataFrame, seed: int, level: int) -> DataFrame:
+    """Give the points of the ``big`` nodes (node, n, fan) to the nearest of ``fan`` pivots, points of least hash:
+    cell_id, vec, node (the child), dp (its distance to the pivot), parent, and one row a child with its pivot and no cell_id."""
+    id_type = sql_type(points, "cell_id")
+    inside = points.join(big, "node")
+    first = Window.partitionBy("node").orderBy(_hash(seed, 2 * level), "cell_id")
+    pivots = inside.withColumn("j", F.row_number().over(first)).where(F.col("j") <= FAN).where(F.col("j") <= F.col("fan"))
+    chunks = F.ceil(F.col("n") / ASSIGNED).cast("int")
+    each = F.explode(F.sequence(F.lit(0), chunks - 1))
+    told = pivots.select("node", each.alias("chunk"), F.lit(None).cast(id_type).alias("cell_id"), "vec", "j")
+    asked = inside.select("node", F.pmod(_hash(seed, 2 * level + 1), chunks).cast("int").alias("chunk"), "cell_id", "vec", F.lit(0).alias("j"))
+
+    def assign(t: pa.Table) -> pa.Table:
+        j, x, parent = t.column("j").to_numpy(), matrix(t), t.column("node")[0].as_py()
+        p = np.flatnonzero(j)
+        p = p[np.argsort(j[p])]
+        q = np.flatnonzero(j == 0)
+        child, dp = np.zeros(len(q), int), np.zeros(len(q))
+        for at in range(0, len(q), STRIP):
+            d = _squared(x[q[at:at + STRIP]], x[p])
+            child[at:at + STRIP] = d.argmin(axis=1)
+            # by subtraction: products lose the small distances
+            dp[at:at + STRIP] = np.sqrt(((x[q[at:at + STRIP]] - x[p[child[at:at + STRIP]]]) ** 2).sum(axis=1))
+        told = p if t.column("chunk")[0].as_py() == 0 else p[:0]
+        names = np.array([f"{parent}.{c}" for c in range(len(p))], dtype=object)
+        rows = pa.array(np.concatenate([q, told]))
+        return pa.table({
+            "cell_id": t.column("cell_id").take(rows), "vec": t.column("vec").take(rows),
+            "node": pa.array(np.concatenate([names[child], names[: len(told)]]), pa.string()),
+            "dp": pa.array(np.concatenate([dp, np.zeros(len(told))])), "parent": pa.array([parent] * len(rows), pa.string())})
+
+    return told.unionByName(asked).groupBy("node", "chunk").applyInArrow(
+        assign, f"cell_id {id_type}, vec array<double>, node string, dp double, parent string")
+
+
+def _tree(store: Scratch, points: DataFrame, block: int, seed: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(points with their leaf and its size, node tables by level).
+
+    A node of more than ``block`` points is split around pivots until its
+    children fit; one whose points all go to the same pivot (copies of one
+    vector) stays.  Nodes: node, parent, pivot, n, lo, hi (least and largest
+    distance of a point to the pivot), leaf.
+    """
+    n = points.count()
+    placed = points.select("cell_id", "vec", F.lit("r").alias("node"))
+    sizes = points.sparkSession.createDataFrame([("r", n, n > block)], "node string, n bigint, big boolean")
+    leaves, levels = None, []
+    while True:
+        done = placed.join(sizes.where("not big"), "node").select("cell_id", "vec", F.col("node").alias("leaf"), "n")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        big = sizes.where("big").select("node", "n", F.least(F.lit(FAN), F.ceil(2 * F.col("n") / block)).alias("fan"))
+        if big.limit(1).count() == 0:
+            return leaves, levels
+        split = store.save(_split_nodes(placed, big, seed, len(levels)), f"split{len(levels)}")
+        parents = big.select(F.col("node").alias("parent"), F.col("n").alias("whole"))
+        nodes = split.groupBy("node", "parent").agg(
+            F.count("cell_id").alias("n"), F.min(F.when(F.col("cell_id").isNotNull(), F.col("dp"))).alias("lo"),
+            F.max("dp").alias("hi"), F.max(F.when(F.col("cell_id").isNull(), F.col("vec"))).alias("pivot")).where("n > 0")
+        nodes = nodes.join(parents, "parent").withColumn("leaf", (F.col("n") <= block) | (F.col("n") == F.col("whole")))
+        levels.append(store.save(nodes.drop("whole"), f"nodes{len(levels)}"))
+        placed = split.where("cell_id is not null").select("cell_id", "vec", "node")
+        sizes = levels[-1].select("node", "n", (~F.col("leaf")).alias("big"))
+
+
+def _near_pairs(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Pairs of different leaves a, b where a point of a can have something within its ``reach`` in b.
+
+    ``leaves``: leaf, reach (the largest distance a point of it looks around).
+    Level by level the children of a node stay whose ball is near enough.
+    """
+    nodes = None
+    for level in levels:
+        part = level.where("leaf").select("node", F.col("pivot").alias("p"), F.col("hi").alias("r"))
+        nodes = part if nodes is None else nodes.unionByName(part)
+    looking = leaves.join(nodes, leaves.leaf == nodes.node).select(F.col("leaf").alias("a"), "p", "r", "reach")
+    pairs = None
+    for i, level in enumerate(levels):
+        child = level.select("node", "parent", "pivot", "hi", F.col("leaf").alias("ends"))
+        # the root has at most FAN children
+        met = looking.join(F.broadcast(child)) if i == 0 else looking.join(child, looking.at == child.parent)
+        near = vec_distance(F.col("p"), F.col("pivot")) - F.col("r") - F.col("hi") <= _roomy(F.col("reach"))
+        met = met.where(near).select("a", "p", "r", "reach", F.col("node").alias("at"), "ends")
+        found = met.where(F.col("ends") & (F.col("a") != F.col("at"))).select("a", F.col("at").alias("b"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+        looking = met.where(~F.col("ends")).drop("ends")
+    return pairs
+
+
+def _roomy(bound: Column) -> Column:
+    """A bound with room for rounding."""
+    return bound * (1 + 1e-9) + 1e-6
+
+
 def knn(embedding: DataFrame, k: int, n_dims: int | None = None, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """Exact k-nearest-neighbour edges ``src, dst, dist, rank``.
 
     ``k`` counts the point itself, so every point gets its k - 1 nearest
-    others; equal distances go by id.  Points are assigned to the nearest of a
-    few pivots.  For each point an upper bound of its k-th distance follows
-    from the pivots alone, and by the triangle inequality it is compared only
-    with blocks whose pivot region can hold something nearer.  A crowded
-    region (many near-identical points) is split by id hash, so no block grows
-    beyond its size.
+    others; equal distances go by id.  The points are the leaves of a tree of
+    pivots, written as tables: nodes split until a leaf fits a block (a leaf of
+    equal points is cut by id hash).  A point first meets its own block, which
+    bounds the distance it has to look around; by the triangle inequality
+    pairs of leaves, then points and leaves that are too far apart are left
+    out, level by level of the tree, in joins.
     """
     vec = F.col("vec") if n_dims is None else F.slice("vec", 1, n_dims)
     id_type = sql_type(embedding, "cell_id")
-    points = cut(embedding.select("cell_id", vec.cast("array<double>").alias("vec")), "points")
-    n = points.count()
-    n_pivots = max(1, min(MAX_PIVOTS, -(-n // block)))
-    picked = points.orderBy(F.xxhash64(F.lit(seed), "cell_id"), "cell_id").limit(n_pivots).select("vec")
-    pivots = np.array([r[0] for r in picked.collect()])  # at most MAX_PIVOTS vectors
-
-    def assign(it):
-        for b in it:
-            if b.num_rows:
-                d = np.sqrt(_squared(matrix(b), pivots))
-                part = d.argmin(axis=1)
-                yield from batches(cell_id=b.column("cell_id"), vec=b.column("vec"),
-                                   part=part.astype(np.int32), dp=d[np.arange(len(d)), part])
-
-    assigned = cut(points.mapInArrow(
-        assign, f"cell_id {id_type}, vec array<double>, part int, dp double"), "assigned")
-    nearest = Window.partitionBy("part").orderBy("dp")
-    heads = (assigned.select("part", "dp").withColumn("rn", F.row_number().over(nearest))
-             .where(F.col("rn") <= k).select("part", "dp").collect())  # pivots x k numbers
-    stats = {r["part"]: r for r in assigned.groupBy("part").agg(
-        F.count(F.lit(1)).alias("c"), F.min("dp").alias("lo"), F.max("dp").alias("hi")).collect()}
-    lo = np.array([stats[j]["lo"] if j in stats else np.inf for j in range(n_pivots)])
-    hi = np.array([stats[j]["hi"] if j in stats else -np.inf for j in range(n_pivots)])
-    subs = [-(-stats[j]["c"] // block) if j in stats else 0 for j in range(n_pivots)]
-    first = np.concatenate([[0], np.cumsum(subs)])
-    head_part = np.array([r["part"] for r in heads])
-    head_dist = np.array([r["dp"] for r in heads])
-    between = np.sqrt(_squared(pivots, pivots))
-
-    def route(it):
-        for b in it:
-            for at in range(0, b.num_rows, STRIP):
-                piece = b.slice(at, STRIP)
-                d = np.sqrt(_squared(matrix(piece), pivots))
-                own = piece.column("part").to_numpy(zero_copy_only=False)
-                reach = d[:, head_part] + head_dist[None, :]
-                kth = min(k, reach.shape[1]) - 1
-                upper = np.partition(reach, kth, axis=1)[:, kth] if reach.shape[1] >= k else np.full(len(d), np.inf)
-                d_own = d[np.arange(len(d)), own]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    plane = (d * d - (d_own * d_own)[:, None]) / (2 * between[own])
-                plane = np.where(np.isfinite(plane), plane, 0.0)
-                lower = np.maximum(np.maximum(d - hi, lo - d), plane)
-                reachable = lower <= (upper * (1 + 1e-9) + 1e-6)[:, None]
-                targets = [np.concatenate([np.arange(first[j], first[j + 1]) for j in np.flatnonzero(r)]).astype(np.int32)
-                           for r in reachable]
-                yield from batches(
-                    cell_id=piece.column("cell_id"), vec=piece.column("vec"), part=piece.column("part"),
-                    targets=pa.array(targets, type=pa.list_(pa.int32())))
-
-    routed = cut(assigned.drop("dp").mapInArrow(
-        route, f"cell_id {id_type}, vec array<double>, part int, targets array<int>"), "routed")
-    total_blocks = int(first[-1])
-    load = routed.select(F.explode("targets").alias("b")).groupBy("b").count().collect()  # one row per block
-    chunks = np.ones(total_blocks, dtype=int)
-    for r in load:
-        chunks[r["b"]] = -(-r["count"] // block)
-    chunk_of = F.array(*[F.lit(int(c)) for c in chunks])
-    first_of = F.array(*[F.lit(int(c)) for c in first[:-1]])
-    subs_of = F.array(*[F.lit(max(1, int(c))) for c in subs])
-    h = F.xxhash64(F.lit(seed), "cell_id")
-    queries = routed.select("cell_id", "vec", F.explode("targets").alias("block")).select(
-        "cell_id", "vec", "block",
-        F.pmod(F.shiftright(h, 8), F.get(chunk_of, F.col("block"))).cast("int").alias("chunk"),
-        F.lit(True).alias("query"),
-    )
-    own_block = (F.get(first_of, F.col("part")) + F.pmod(h, F.get(subs_of, F.col("part")))).cast("int")
-    held = routed.select("cell_id", "vec", own_block.alias("block")).select(
-        "cell_id", "vec", "block",
-        F.explode(F.sequence(F.lit(0), F.get(chunk_of, F.col("block")) - 1)).alias("chunk"),
-        F.lit(False).alias("query"),
-    )
+    store = Scratch(embedding.sparkSession, "knn")
+    points = store.save(embedding.select("cell_id", vec.cast("array<double>").alias("vec")), "points")
+    leaves, levels = _tree(store, points, block, seed)
+    subs = F.ceil(F.col("n") / block).cast("int")
+    home = store.save(leaves.select(
+        "cell_id", "vec", "leaf", subs.alias("subs"), F.pmod(_hash(seed, -1), subs).cast("int").alias("sub")), "home")
 
     def meet(t: pa.Table) -> pa.Table:
-        is_q = t.column("query").to_numpy(zero_copy_only=False).astype(bool)
+        """Nearest held points of every asking one within its reach; without one asking, all ask."""
         ids = t.column("cell_id").combine_chunks()
         rank, x = _id_ranks(ids), matrix(t)
-        qi, si = np.flatnonzero(is_q), np.flatnonzero(~is_q)
+        qi = si = np.arange(len(x))
+        reach = None
+        if "asks" in t.column_names:
+            asks = t.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            qi, si = np.flatnonzero(asks), np.flatnonzero(~asks)
+            reach = t.column("reach").to_numpy(zero_copy_only=False)[qi]
         if not len(qi) or not len(si):
             return pa.table({"src": ids.slice(0, 0), "dst": ids.slice(0, 0), "dist": pa.array([], pa.float64())})
         r, c, d = _best(x[qi], rank[qi], x[si], rank[si], k - 1)
+        if reach is not None:
+            near = d <= reach[r]
+            r, c, d = r[near], c[near], d[near]
         return pa.table({"src": ids.take(pa.array(qi[r])), "dst": ids.take(pa.array(si[c])), "dist": pa.array(d)})
 
-    local = queries.unionByName(held).groupBy("block", "chunk").applyInArrow(
-        meet, f"src {id_type}, dst {id_type}, dist double")
+    edge = f"src {id_type}, dst {id_type}, dist double"
+    local = store.save(home.groupBy("leaf", "sub").applyInArrow(meet, edge), "local")
     order = Window.partitionBy("src").orderBy("dist", "dst")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") < k)
+    if not levels and home.where("subs > 1").limit(1).count() == 0:
+        return local.withColumn("rank", F.row_number().over(order))
+    far = F.lit(float("inf"))
+    bound = local.groupBy(F.col("src").alias("cell_id")).agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("d"))
+    asking = store.save(home.join(bound, "cell_id", "left").withColumn(
+        "reach", F.when(F.col("c") >= k - 1, F.col("d")).otherwise(far)).drop("c", "d"), "asking")
+
+    # the other blocks of the own leaf, then the leaves that are near enough
+    own = asking.where("subs > 1").select("cell_id", "vec", "reach", "leaf", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("to"), "sub").where(
+        "to <> sub").drop("sub")
+    targets = own
+    if levels:
+        pairs = store.save(_near_pairs(asking.groupBy("leaf").agg(F.max("reach").alias("reach")), levels), "pairs")
+        nodes = None
+        for level in levels:
+            part = level.where("leaf").select("node", "parent", "pivot", "lo", "hi", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+            nodes = part if nodes is None else nodes.unionByName(part)
+        mine = nodes.select(F.col("node").alias("a"), F.col("parent").alias("a_parent"), F.col("pivot").alias("a_pivot"))
+        lanes = pairs.join(nodes, pairs.b == nodes.node).join(mine, "a").select(
+            F.col("a").alias("leaf"), "b", "pivot", "lo", "hi", "blocks",
+            F.when(F.col("parent") == F.col("a_parent"), F.col("a_pivot")).alias("beside"))
+        d, side = vec_distance(F.col("vec"), F.col("pivot")), vec_distance(F.col("vec"), F.col("beside"))
+        # a point of b is nearer to its own pivot than to a sibling of that
+        plane = F.coalesce(F.try_divide(F.col("d") * F.col("d") - side * side, 2 * vec_distance(F.col("pivot"), F.col("beside"))), F.lit(0.0))
+        lower = F.greatest(F.col("d") - F.col("hi"), F.col("lo") - F.col("d"), plane)
+        routed = asking.select("cell_id", "vec", "reach", "leaf").join(lanes, "leaf").withColumn("d", d).where(lower <= _roomy(F.col("reach")))
+        targets = own.unionByName(routed.select(
+            "cell_id", "vec", "reach", F.col("b").alias("leaf"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to")))
+    targets = store.save(targets, "targets")
+    load = targets.groupBy("leaf", F.col("to").alias("sub")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
+    load = store.save(load, "load")
+    questions = targets.withColumnRenamed("to", "sub").join(load, ["leaf", "sub"]).select(
+        "leaf", "sub", F.pmod(_hash(seed, -2), F.col("chunks")).cast("int").alias("chunk"), "cell_id", "vec", "reach", F.lit(True).alias("asks"))
+    held = home.join(load, ["leaf", "sub"]).select(
+        "leaf", "sub", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "cell_id", "vec",
+        F.lit(0.0).alias("reach"), F.lit(False).alias("asks"))
+    met = questions.unionByName(held).groupBy("leaf", "sub", "chunk").applyInArrow(meet, edge)
+    return local.unionByName(met).withColumn("rank", F.row_number().over(order)).where(F.col("rank") < k)
 
 
 def connectivities(edges: DataFrame) -> DataFrame:
@@ -215,88 +295,119 @@ def connectivities(edges: DataFrame) -> DataFrame:
     ).select("src", "dst", (F.col("a") + F.col("b") - F.col("a") * F.col("b")).alias("weight"))
 
 
+#: doubles that one side of a pair of super-blocks may hold, rows from which a block is worth a task, tasks for a slot
+SIDE_DOUBLES, LEAST_BLOCK, TASKS = 4_000_000, 1024, 2
+#: columns of a distance tile
+TILE = 2048
+
+
+def grid_side(points: DataFrame, count: Column, block: int | None) -> Column:
+    """Into how many super-blocks a group of ``count`` rows is cut, every pair of which is a task.
+
+    A vector is sent to as many tasks as there are super-blocks, which is the
+    square root of twice the tasks.  Blocks are as large as the slots in use
+    and the memory of a task allow; ``block`` sets their size instead.
+    """
+    if block is not None:
+        return F.ceil(count / block).cast("int")
+    slots = points.sparkSession.sparkContext.defaultParallelism * TASKS
+    width = points.select(F.max(F.size("vec"))).first()[0] or 1
+    most = max(LEAST_BLOCK, SIDE_DOUBLES // width)
+    wanted = F.least(F.ceil(count / LEAST_BLOCK), F.lit(math.ceil(math.sqrt(2 * slots))))
+    return F.greatest(F.ceil(count / most), wanted).cast("int")
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances; 0 where rounding hides the difference."""
+    d = _squared(x, y)
+    scale = 1e-14 * ((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :])
+    return np.sqrt(np.where(d <= scale, 0.0, d))
+
+
 def distance_sums(
     points: DataFrame, labels: Sequence[str], group: str | None = None, per_point: bool = True,
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """Sums of Euclidean distances from points to the points of each label.
 
     Exact over all ordered pairs (a point with itself adds 0), within each
-    ``group``.  Every unordered block pair is one bounded task.  With
-    ``per_point``: ``[group,] cell_id, labelling, other, s``; otherwise
-    ``[group,] labelling, own, other, s``.  Several label columns share the
-    distances; ``labelling`` is the position of the column.
+    ``group``.  Every unordered pair of super-blocks is one task, which goes
+    through its pairs in tiles.  With ``per_point``: ``[group,] cell_id,
+    labelling, other, s``; otherwise ``[group,] labelling, own, other, s``.
+    Several label columns share the distances; ``labelling`` is the position
+    of the column.  A null label is no label.
     """
     id_type = sql_type(points, "cell_id")
+    store = Scratch(points.sparkSession, "pairs")
     g = F.lit("") if group is None else F.col(group).cast("string")
-    base = cut(points.select(
-        g.alias("grp"), "cell_id", F.col("vec").cast("array<double>").alias("vec"),
-        F.array(*[F.col(c).cast("string") for c in labels]).alias("lab")), "pairs")
-    sizes = base.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    # labels travel as hashes and get their names back at the end
+    codes = F.array(*[F.xxhash64(F.lit(i), F.col(c).cast("string")) for i, c in enumerate(labels)])
+    base = store.save(points.select(
+        g.alias("grp"), "cell_id", F.col("vec").cast("array<double>").alias("vec"), codes.alias("lab"),
+        F.array(*[F.col(c).cast("string") for c in labels]).alias("names")), "points")
+    names = store.save(base.select(F.explode(F.arrays_zip("lab", "names")).alias("p")).select(
+        F.col("p.lab").alias("code"), F.col("p.names").alias("name")).where("name is not null").distinct(), "names")
+    sizes = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("grp", grid_side(base, F.col("n"), block).alias("nb"))
     h = F.pmod(F.xxhash64("cell_id"), F.col("nb")).cast("int")
-    placed = base.join(sizes, "grp").withColumn("blk", h)
-    # point -> all block pairs its block is part of
+    placed = base.drop("names").join(sizes, "grp").withColumn("blk", h)
+    # point -> all pairs its super-block is part of
     other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
     sent = placed.withColumn("o", other).select(
         "grp", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "cell_id", "vec", "lab")
-
     m = len(labels)
 
     def sums(t: pa.Table) -> pa.Table:
         blk = t.column("blk").to_numpy()
         i, j = int(t.column("i")[0].as_py()), int(t.column("j")[0].as_py())
         x = matrix(t)
-        lab = np.array(t.column("lab").to_pylist(), dtype=object).reshape(-1, m)
+        lab = t.column("lab").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
         ids = t.column("cell_id").combine_chunks()
         grp = t.column("grp")[0].as_py()
         a, b = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        out = []
-        names, hot = [], []
+        values, places = zip(*[np.unique(lab[:, c], return_inverse=True) for c in range(m)])
+        ends = np.cumsum([len(v) for v in values])
+        hot = np.zeros((len(x), ends[-1]))
         for c in range(m):
-            u, inv = np.unique(lab[:, c].astype(str), return_inverse=True)
-            names.append(u)
-            hot.append(np.eye(len(u))[inv.reshape(-1)])
-        width = [h_.shape[1] for h_ in hot]
-        all_hot = np.hstack(hot)
-        left = np.zeros((len(a), sum(width)))
-        right = np.zeros((len(b), sum(width)))
+            hot[np.arange(len(x)), places[c].reshape(-1) + ends[c] - len(values[c])] = 1.0
+        left, right = np.zeros((len(a), ends[-1])), np.zeros((len(b), ends[-1]))
         for at in range(0, len(a), STRIP):
             rows = a[at:at + STRIP]
-            d = _squared(x[rows], x[b])
-            scale = 1e-14 * ((x[rows] ** 2).sum(axis=1)[:, None] + (x[b] ** 2).sum(axis=1)[None, :])
-            d = np.sqrt(np.where(d <= scale, 0.0, d))
-            left[at:at + STRIP] = d @ all_hot[b]
-            right += d.T @ all_hot[rows]
+            for to in range(0, len(b), TILE):
+                cols = b[to:to + TILE]
+                d = distances(x[rows], x[cols])
+                left[at:at + STRIP] += d @ hot[cols]
+                if i != j:
+                    right[to:to + TILE] += d.T @ hot[rows]
         sides = [(a, left)] if i == j else [(a, left), (b, right)]
-        start = 0
+        out = []
         for c in range(m):
-            cols = slice(start, start + width[c])
-            start += width[c]
+            span = slice(ends[c] - len(values[c]), ends[c])
             for rows, s in sides:
-                part = s[:, cols]
                 if per_point:
+                    part = s[:, span]
                     r, q = np.nonzero(part)
-                    out.append(pa.table({
-                        "grp": pa.array([grp] * len(r), pa.string()), "cell_id": ids.take(pa.array(rows[r])),
-                        "labelling": pa.array(np.full(len(r), c, dtype=np.int32)),
-                        "other": pa.array(names[c][q].astype(str), pa.string()), "s": pa.array(part[r, q])}))
+                    key = {"cell_id": ids.take(pa.array(rows[r]))}
                 else:
-                    tot = hot[c][rows].T @ part
-                    r, q = np.nonzero(np.ones_like(tot))
-                    out.append(pa.table({
-                        "grp": pa.array([grp] * len(r), pa.string()), "own": pa.array(names[c][r].astype(str), pa.string()),
-                        "labelling": pa.array(np.full(len(r), c, dtype=np.int32)),
-                        "other": pa.array(names[c][q].astype(str), pa.string()), "s": pa.array(tot[r, q])}))
+                    part = hot[rows, span].T @ s[:, span]
+                    r, q = np.nonzero(np.ones_like(part))
+                    key = {"own": pa.array(values[c][r])}
+                out.append(pa.table({
+                    "grp": pa.array([grp] * len(r), pa.string()), **key, "labelling": pa.array(np.full(len(r), c, dtype=np.int32)),
+                    "other": pa.array(values[c][q]), "s": pa.array(part[r, q])}))
         return pa.concat_tables(out)
 
-    own = f"cell_id {id_type}" if per_point else "own string"
-    raw = sent.groupBy("grp", "i", "j").applyInArrow(sums, f"grp string, {own}, labelling int, other string, s double")
+    own = f"cell_id {id_type}" if per_point else "own bigint"
+    raw = sent.groupBy("grp", "i", "j").applyInArrow(sums, f"grp string, {own}, labelling int, other bigint, s double")
     key = "cell_id" if per_point else "own"
     total = raw.groupBy("grp", key, "labelling", "other").agg(F.sum("s").alias("s"))
+    for c in ["other"] if per_point else ["own", "other"]:
+        total = total.withColumnRenamed(c, "code").join(names, "code").withColumnRenamed("name", c).drop("code")
+    total = total.select("grp", key, "labelling", "other", "s")
     return total.drop("grp") if group is None else total.withColumnRenamed("grp", group)
 
 
-def silhouettes(points: DataFrame, labels: Sequence[str], block: int = BLOCK) -> DataFrame:
+def silhouettes(points: DataFrame, labels: Sequence[str], block: int | None = None) -> DataFrame:
     """Exact mean Euclidean silhouette of one or more labellings.
 
     ``labelling`` (column name), ``silhouette``, ``n_clusters``; null when a

@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 
 from stipple.functions.columns import vec_distance
 from stipple.operators.composition import bh
-from stipple.operators.neighbors import BLOCK, _squared, distance_sums
+from stipple.operators.neighbors import STRIP, TILE, distance_sums, distances, grid_side
 from stipple.operators.summary import gate
 from stipple.operators.vectors import matrix
 from stipple.session import cut
 
-#: permutations whose weights a task holds at once, and cells of a block
-PERMUTATIONS_PER_TASK, PERMUTATION_BLOCK = 125, 2048
+#: permutations whose weights a task holds at once
+PERMUTATIONS_PER_TASK = 125
+#: places that go through the network at once: they stay in a core's cache
+PLACES = 16_384
 
 
 def energy_distance(
     points: DataFrame, by: str = "cluster", ref: str = "WT", test: str = "KO", min_n: int = 1,
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """2 mean|x-y| - mean|x-x'| - mean|y-y'| per group, over all ordered pairs
     including each point with itself: ``by, n_ref, n_test, edistance``."""
@@ -49,41 +51,56 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 def _shuffled(index: np.ndarray, n: int, key: int, turns: np.ndarray) -> np.ndarray:
     """Place of each ``index`` (of 0 .. n - 1) in each of the permutations ``turns``, cell by permutation.
 
-    A Feistel network whose places past n walk on: every place is known without the others, and none occurs twice.
+    A Feistel network over as many bits as n needs; places past n walk on, so
+    every place is known without the others, and none occurs twice.
     """
-    half = np.uint64(max(1, -(-(n - 1).bit_length() // 2)))
-    low = (np.uint64(1) << half) - np.uint64(1)
+    bits = max(2, (n - 1).bit_length())
+    half = np.uint64(bits // 2)
+    low, high = (np.uint64(1) << half) - np.uint64(1), (np.uint64(1) << np.uint64(bits - bits // 2)) - np.uint64(1)
     keys = _mixed(_mixed(np.uint64(key) + np.asarray(turns, np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
                   + np.arange(1, 9, dtype=np.uint64)[:, None] * np.uint64(0xD1B54A32D192ED03))
-    x = np.repeat(np.asarray(index, np.uint64)[:, None], len(turns), axis=1).reshape(-1)
-    todo = np.arange(len(x))
-    while len(todo):
-        left, right = x[todo] >> half, x[todo] & low
-        for k in keys:
-            left, right = right, left ^ _mixed(right + k[todo % len(turns)]) & low
-        x[todo] = left << half | right
-        todo = todo[x[todo] >= n]
-    return x.reshape(len(index), len(turns)).astype(np.int64)
+
+    def network(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        left, right = x >> half, x & low
+        for i in range(0, 8, 2):
+            left = left ^ _mixed(right + keys[i]) & high
+            right = right ^ _mixed(left + keys[i + 1]) & low
+        return left << half | right
+
+    out = np.empty((len(index), len(turns)), np.int64)
+    step = max(1, PLACES // max(1, len(turns)))
+    for at in range(0, len(index), step):
+        start = np.asarray(index[at:at + step], np.uint64)[:, None]
+        x = network(np.broadcast_to(start, (len(start), len(turns))), keys)
+        row, turn = np.nonzero(x >= n)
+        while len(row):
+            moved = network(x[row, turn], keys[:, turn])
+            x[row, turn] = moved
+            out_of = moved >= n
+            row, turn = row[out_of], turn[out_of]
+        out[at:at + step] = x
+    return out
 
 
 def permutation_test(
     points: DataFrame, by: str = "cluster", ref: str = "WT", test: str = "KO", n_perms: int = 999,
     cap: int | None = None, min_n: int = 5, seed: int = 42, per_task: int = PERMUTATIONS_PER_TASK,
-    block: int = PERMUTATION_BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """Permutation p-values of the energy distance per group.
 
     All cells enter the observed and every permuted statistic, which are sums
-    over pairs of blocks for all permutations at once.  With a ``cap`` each
+    over pairs of super-blocks for all permutations at once.  With a ``cap`` each
     statistic takes min(n_ref, n_test, cap) cells a side, drawn anew from all
     cells of the group in every permutation.  Cells are numbered by id hash and
-    id, so permutations do not depend on partitioning.  A task holds one block
-    pair and the weights of ``per_task`` permutations.
+    id, so permutations do not depend on partitioning.  A task holds two
+    super-blocks and the weights of ``per_task`` permutations for a part of
+    their cells.
     """
     points = cut(points.where(F.col("condition").isin(ref, test)).select(
         "cell_id", F.col(by).cast("string").alias(by), "condition", "vec"), "permute")
     ok = gate(points, by, "condition", ref, test, min_n)
-    placed = points.join(ok, by).withColumn("nb", F.ceil((F.col("n_ref") + F.col("n_test")) / block).cast("int")).withColumn(
+    placed = points.join(ok, by).withColumn("nb", grid_side(points, F.col("n_ref") + F.col("n_test"), block)).withColumn(
         "blk", F.pmod(F.xxhash64("cell_id"), F.col("nb")).cast("int"))
     # numbers from 0 in the group and on the cell's side: those of the blocks before and the rank in the block
     is_test = F.col("condition") == test
@@ -106,30 +123,37 @@ def permutation_test(
         place, own = t.column("place").to_numpy(), t.column("own").to_numpy()
         tested = t.column("is_test").to_numpy()
         a, b = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-        d = _squared(x[a], x[b])
-        norm = (x * x).sum(axis=1)
-        d = np.sqrt(np.where(d <= 1e-14 * (norm[a][:, None] + norm[b][None, :]), 0.0, d))
         key = zlib.crc32(group.encode()) << 32 | seed & 0xFFFFFFFF
         m_test, m_ref = (n_test, n_ref) if cap is None else (min(n_ref, n_test, cap),) * 2
 
-        def weights(turns: np.ndarray) -> np.ndarray:
-            at = _shuffled(place, n_ref + n_test, key, turns)
-            return np.where(at < m_test, 1.0 / m_test, np.where(at < m_test + m_ref, -1.0 / m_ref, 0.0))
-
         drawn = own
         if cap is not None:
             drawn = np.empty(len(own), np.int64)
             for side, n in ((tested, n_test), (~tested, n_ref)):
                 drawn[side] = _shuffled(own[side], n, key, np.zeros(1, np.int64))[:, 0]
         observed = np.where(tested, (drawn < m_test) / m_test, (drawn < m_ref) / -m_ref)
-        stats = []
-        for at in range(0, n_perms + 1, per_task):
-            turns = np.arange(at, min(at + per_task, n_perms + 1))
-            v = weights(turns)
-            if at == 0:
-                v[:, 0] = observed
-            stats.append(-(v[a] * (d @ v[b])).sum(axis=0))
-        stat = np.concatenate(stats) * (1 if i == j else 2)
+
+        def weights(rows: np.ndarray, turns: np.ndarray) -> np.ndarray:
+            at = _shuffled(place[rows], n_ref + n_test, key, turns)
+            v = np.where(at < m_test, 1.0 / m_test, np.where(at < m_test + m_ref, -1.0 / m_ref, 0.0))
+            v[:, turns == 0] = observed[rows, None]
+            return v
+
+        # the distances of a pair of tiles serve all permutations
+        stat = np.zeros(n_perms + 1)
+        groups = [np.arange(at, min(at + per_task, n_perms + 1)) for at in range(0, n_perms + 1, per_task)]
+        for to in range(0, len(b), TILE):
+            cols = b[to:to + TILE]
+            v = [weights(cols, turns) for turns in groups]
+            for at in range(0, len(a), TILE):
+                rows = a[at:at + TILE]
+                if i == j and at > to:
+                    continue  # the pair of tiles is met the other way round
+                twice = 1 if i == j and at == to else 2
+                d = np.vstack([distances(x[rows[k:k + STRIP]], x[cols]) for k in range(0, len(rows), STRIP)])
+                for turns, w in zip(groups, v):
+                    u = w if i == j and at == to else weights(rows, turns)
+                    stat[turns] -= twice * (u * (d @ w)).sum(axis=0)
         return pa.table({by: pa.array([group] * len(stat), pa.string()), "p": pa.array(np.arange(len(stat))), "part": pa.array(stat)})
 
     parts = sent.groupBy(by, "i", "j").applyInArrow(run, f"{by} string, p bigint, part double")
@@ -148,9 +172,12 @@ def expression_shift(
 ) -> DataFrame:
     """Energy distance over all cells with permutation p and BH adjustment."""
     points = cut(points.select("cell_id", F.col(by).cast("string").alias(by), "condition", "vec"), "shift")
-    observed = energy_distance(points, by, ref, test, min_n).select(by, "edistance")
     p = permutation_test(points, by, ref, test, n_perms, cap, min_n, seed)
-    return bh(p.join(observed, by), "pvalue", alpha, tie=[by])
+    if cap is None:  # the observed statistic is the distance itself
+        p = p.withColumn("edistance", F.col("edistance_sample"))
+    else:
+        p = p.join(energy_distance(points, by, ref, test, min_n).select(by, "edistance"), by)
+    return bh(p, "pvalue", alpha, tie=[by])
 
 
 def shift_z(points: DataFrame, ref: str = "WT") -> DataFrame:

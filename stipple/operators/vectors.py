@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: the gene side of a matrix is held whole by every task; refuse beyond this
-MAX_FEATURES = 200_000
+from stipple.functions.order import numbered
+
 #: doubles per dense working block inside a task (32 MB)
 BLOCK_DOUBLES = 4_000_000
 
@@ -19,15 +19,9 @@ def sql_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def gene_index(genes: DataFrame, limit: int = MAX_FEATURES) -> DataFrame:
-    """``gene, i`` with i = 0.. in gene order.  Checked to be a dimension table
-    of bounded size before it is numbered."""
-    genes = genes.select("gene").distinct()
-    n = genes.limit(limit + 1).count()
-    if n > limit:
-        raise ValueError(f"more than {limit} features; select features first")
-    w = Window.orderBy("gene")
-    return genes.withColumn("i", (F.row_number().over(w) - 1).cast("int"))
+def gene_index(genes: DataFrame) -> DataFrame:
+    """``gene, i`` with i = 0.. in gene order, for any number of genes."""
+    return numbered(genes.select("gene").distinct(), ["gene"], name="i").withColumn("i", F.col("i").cast("int"))
 
 
 def cell_vectors(expr: DataFrame, index: DataFrame, value: str = "value",

@@ -82,6 +82,66 @@ def test_leiden_finds_blobs_and_ignores_partitioning(vec_table):
     assert got.sort_values(key).cluster.tolist() == again.sort_values(key).cluster.tolist()
 
 
+def gains(graph, label, gamma):
+    """Best gain of a move of one node, to any community or alone, on a dense graph."""
+    n = len(label)
+    w = np.zeros((n, n))
+    w[graph.src, graph.dst] = graph.weight
+    k, m2 = w.sum(1), w.sum()
+    hot = np.eye(label.max() + 2)[label]  # the last community is empty
+    into = (w - np.diag(np.diag(w))) @ hot - gamma * k[:, None] * (hot.T @ k) / m2
+    own = hot.astype(bool)
+    stay = into[own] + gamma * k * k / m2
+    return np.where(own, -np.inf, into).max(1) - stay
+
+
+@pytest.mark.parametrize("nodes", [20_000, 60])  # one block; many, and communities that fit none
+def test_leiden_ends_where_nobody_gains(vec_table, monkeypatch, nodes):
+    monkeypatch.setattr(cluster, "NODES", nodes)
+    rng = np.random.default_rng(13)
+    n = 300 if nodes > 60 else 150
+    x = rng.normal(size=(n, 6)) + rng.integers(0, 3, n)[:, None] * 2
+    g = cut(neighbors.connectivities(cut(neighbors.knn(vec_table(x), 12))))
+    got = cluster.leiden(g, [0.4, 1.5] if nodes > 60 else [1.0]).orderBy("cell_id").toPandas()
+    table = g.toPandas()
+    for gamma, part in got.groupby("resolution"):
+        label = part.cluster.astype(int).to_numpy()
+        assert gains(table, label, gamma).max() < 1e-8
+        w = np.zeros((n, n))
+        w[table.src, table.dst] = table.weight
+        hot = np.eye(label.max() + 1)[label]
+        between, k = hot.T @ w @ hot, hot.T @ w.sum(1)
+        merge = between - gamma * np.outer(k, k) / w.sum()
+        assert (merge[~np.eye(len(merge), dtype=bool)] < 1e-8).all()  # no two communities gain by merging
+        for c in range(label.max() + 1):  # connected
+            inside = np.flatnonzero(label == c)
+            seen, todo = {inside[0]}, [inside[0]]
+            while todo:
+                new = set(inside[w[todo.pop()][inside] > 0]) - seen
+                seen |= new
+                todo += new
+            assert len(seen) == len(inside)
+
+
+def test_leiden_on_a_long_chain_and_on_single_nodes(spark):
+    n = 600
+    i = spark.range(n - 1)
+    chain = i.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    both = cut(chain.unionByName(chain.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
+    label = cluster.leiden(both).orderBy("cell_id").toPandas().cluster.astype(int).to_numpy()
+    cuts = np.flatnonzero(np.diff(label))
+    assert len(cuts) == label.max()  # runs of the chain
+    sizes = np.diff(np.concatenate([[0], cuts + 1, [n]]))
+    m2, ends = 2.0 * (n - 1), np.concatenate([[0], cuts + 1, [n]])
+    k = 2.0 * sizes
+    k[0] -= 1
+    k[-1] -= 1
+    assert (1 - k[:-1] * k[1:] / m2 <= 1e-9).all()  # no two runs gain by merging
+    loops = cut(spark.range(50).select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight")))
+    assert cluster.leiden(loops).select("cluster").distinct().count() == 50
+    assert cluster.leiden(loops.limit(0)).count() == 0
+
+
 def test_diffusion_time_follows_a_line(spark, vec_table):
     rng = np.random.default_rng(4)
     s = np.sort(rng.random(300)) * 8
@@ -139,7 +199,9 @@ def test_split_finds_connected_parts_of_long_paths(spark):
         [(0, a, b, 1.0) for a, b in pairs] + [(0, b, a, 1.0) for a, b in pairs], "r int, src string, dst string, w double"), "edges")
     nodes = sorted({n for p in pairs for n in p})
     state = store.save(spark.createDataFrame([(0, n, "c", 1.0) for n in nodes], "r int, node string, comm string, k double"), "state")
-    got = {r.node: r.comm for r in _split(store, edges, state).collect()}
+    parts, joined = _split(store, edges, state)
+    got = {r.node: r.comm for r in parts.collect()}
+    assert joined == 200
     assert {got[f"{i:04d}"] for i in range(200)} == {"0000"} and got["x1"] == got["x2"] != "0000"
 
 
