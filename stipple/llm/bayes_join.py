@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stipple.llm.common import slices, text_bytes
+from stipple.llm.common import free_names, slices, text_bytes
 from stipple.llm.components import components
 from stipple.llm.quality import word_hashes
 from stipple.session import Scratch, cut
@@ -344,15 +344,18 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
                 text: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns: of each class the row of least key, one where equal rows share it.
 
-    Rows without a word in their text have no class and all stay.
+    Rows without a word in their text (null, empty, blank) have no class and
+    all stay.  Columns may have any name; an empty table gives an empty one.
     """
+    name, same, many, own = free_names(docs.columns, "name", "same", "many", "own")
     near = near_duplicates(docs, threshold, tolerance, key, text)
     first = F.col(key).eqNullSafe(F.col("class_id")) & (F.col("k") == F.col("class_k"))
-    stays = cut(near.where(first).groupBy(F.col(key).alias("__key"), F.col("k").alias("__k")).agg(F.count(F.lit(1)).alias("__n")), "stays")
+    stays = near.where(first).groupBy(F.col(key).alias(name), F.col("k").alias(same)).agg(F.count(F.lit(1)).alias(many))
+    stays = cut(stays, "stays")
     words = F.coalesce(F.col(text), F.lit(""))
     wordless = ~words.rlike(r"[^\x09-\x0D ]")
-    marked = docs.where(~wordless).withColumn("__text", F.xxhash64(words))
-    kept = marked.join(stays, marked[key].eqNullSafe(stays["__key"]) & (marked["__text"] == stays["__k"]))
-    single = kept.where("__n = 1").select(*docs.columns)
-    repeated = kept.where("__n > 1").dropDuplicates(["__key", "__k"]).select(*docs.columns)
+    marked = docs.where(~wordless).withColumn(own, F.xxhash64(words))
+    kept = marked.join(stays, F.col(key).eqNullSafe(F.col(name)) & (F.col(own) == F.col(same)))
+    single = kept.where(F.col(many) == 1).select(*docs.columns)
+    repeated = kept.where(F.col(many) > 1).dropDuplicates([name, same]).select(*docs.columns)
     return single.unionByName(repeated).unionByName(docs.where(wordless))

@@ -10,10 +10,21 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: characters of text that one slice of a batch may hold; a longer single text is a slice of its own
+#: bytes of text that one slice of a batch may hold; a longer single text is a slice of its own
 SLICE_CHARS = 4_000_000
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Column names close to the wanted ones that clash with none taken, whatever the case of letters."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def documents(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 

@@ -331,22 +331,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_ED
     Other columns are left out.  Places are bytes of the text in UTF-8.
     """
     docs = docs.select(F.col(key), F.col(text))
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` bigint, distance int, begin_byte bigint, end_byte bigint"
+    kind = benchmark.schema[item].dataType.simpleString()
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` {kind}, distance int, begin_byte bigint, end_byte bigint"
+    id_type = benchmark.select(item).limit(0).toArrow().schema.field(0).type
     out = None
     for part in _passes(benchmark, item, item_text):
-        found = docs.mapInArrow(_finder(build(part, max_edit, recall), key, text, item), schema)
+        found = docs.mapInArrow(_finder(build(part, max_edit, recall), key, text, item, id_type), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _finder(index: Index, key: str, text: str, item: str) -> Callable:
+def _finder(index: Index, key: str, text: str, item: str, id_type: pa.DataType) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = index.mask()
         for batch in slices(batches, text, 8_000_000):
             got = find(index, mask, *text_bytes(batch, text))
             row, n, distance, begin, end = zip(*got, strict=True) if got else ((),) * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(key).take(pa.array(row, pa.int64())), pa.array([index.ids[i] for i in n], pa.int64()),
+                [batch.column(key).take(pa.array(row, pa.int64())), pa.array([index.ids[i] for i in n], id_type),
                  pa.array(distance, pa.int32()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())],
                 [key, item, "distance", "begin_byte", "end_byte"])
 

@@ -66,7 +66,11 @@ BLOCK, STRIDE = 64, 32
 
 def normal(text: Column) -> Column:
     """Words of the text in lower case, each between single spaces; "" without words."""
-    flat = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    whole = F.coalesce(text, F.lit(""))
+    # the two letters outside ASCII whose lower case has an ASCII letter stay outside
+    odd = whole.contains("\u212a") | whole.contains("\u0130")
+    whole = F.when(odd, F.translate(whole, "\u212a\u0130", "\u00e5\u00e5")).otherwise(whole)
+    flat = F.trim(F.regexp_replace(F.lower(whole), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
     return F.when(flat == "", "").otherwise(F.concat(F.lit(" "), flat, F.lit(" ")))
 
 

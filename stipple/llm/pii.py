@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stipple.llm.common import free_names
 from stipple.llm.spans import joined, match_spans
 
 KINDS = ("email", "ip", "card", "phone")
@@ -297,15 +298,16 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = None) -> DataFrame:
     """``docs`` with the spans in their texts replaced and, where named, the column of sizes renewed for changed texts.
 
-    Every row and column stays; a null text stays null.
+    Every row and column stays, under any name; a null text stays null, an
+    empty one empty, an empty table empty.  Repeated rows are treated alike.
     """
+    whole, strict, spans, new = free_names(docs.columns, "whole", "strict", "spans", "new")
     model = train(proposed(docs, key, text), key)
-    whole = docs.withColumn("__t", F.coalesce(F.col(text), F.lit(""))).withColumn("__strict", strict_spans(F.col("__t")))
-    spans = selected(model, F.col("__strict"), candidates(F.col("__t"), F.col("__strict")))
-    marked = whole.withColumn("__spans", spans).withColumn(
-        "__new", F.when(F.col(text).isNotNull(), redacted(F.col(text), F.col("__spans"))))
-    changed = F.size("__spans") > 0
-    out = {text: F.col("__new")}
+    marked = docs.withColumn(whole, F.coalesce(F.col(text), F.lit(""))).withColumn(strict, strict_spans(F.col(whole)))
+    marked = marked.withColumn(spans, selected(model, F.col(strict), candidates(F.col(whole), F.col(strict))))
+    marked = marked.withColumn(new, F.when(F.col(text).isNotNull(), redacted(F.col(text), F.col(spans))))
+    out = {text: F.col(new)}
     if size:
-        out[size] = F.when(changed, F.length("__new").cast(docs.schema[size].dataType)).otherwise(F.col(size))
+        changed = F.size(spans) > 0
+        out[size] = F.when(changed, F.length(new).cast(docs.schema[size].dataType)).otherwise(F.col(size))
     return marked.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.resources
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +16,10 @@ SQL: dict[str, str] = {}
 
 
 def tokenizer_path(name: str) -> str:
-    """A public vocabulary file: in $TOKENIZERS, or where the package of vocabularies has it."""
-    if folder := os.environ.get("TOKENIZERS"):
-        return os.path.join(folder, name)
-    return str(importlib.resources.files("public_tokenizers") / name)
+    """A public vocabulary file, where the package of vocabularies has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def tokenizer_bytes(name: str = "piece_bpe_32k.model") -> bytes:

@@ -14,6 +14,8 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Callable, Iterator
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from stipple.llm.common import slices, texts
 
 SPACE = "▁"
-#: distinct chunks whose segmentation a task remembers before it starts afresh
-MEMORY = 300_000
+#: distinct chunks whose segmentation a worker remembers before it starts afresh
+MEMORY = 150_000
+#: bytes of text that a task encodes at once
+SLICE = 500_000
 LONGEST_REMEMBERED = 64
 
 
@@ -176,7 +180,6 @@ class Encoder:
     def __init__(self, model: bytes):
         import sentencepiece
 
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         pieces, spec, trainer = [], {}, {}
         for field, value in message_fields(model):
             if field == 1:
@@ -190,9 +193,13 @@ class Encoder:
         # fields that come later win when messages are joined: no map, no prefix, no stripping, no escapes
         bare = b"\x12\x00\x18\x00\x20\x00\x28\x00"
         self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=model + b"\x1a" + bytes([len(bare)]) + bare)
-        self.eos = self.processor.eos_id()
+        self.model = model
+        self.eos, self.unknown = self.segmenter.eos_id(), self.segmenter.unk_id()
         self.size = np.array([1 if kind == 6 else len(p.encode()) for p, kind in pieces], np.int64)
         self.is_byte = np.array([kind == 6 for _, kind in pieces])
+        self.raw = [bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(SPACE, " ").encode() for p, kind in pieces]
+        self.spaced = np.array([kind != 6 and p.startswith(SPACE) for p, kind in pieces])
+        self.odd = np.array([kind not in (1, 4, 6) for _, kind in pieces])
         #: where no piece has a space mark after another character, text falls apart before such marks
         self.chunked = bool(trainer.get(35)) and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, kind in pieces if kind == 1)
         self.known: dict[str, list[int]] = {}
@@ -202,15 +209,17 @@ class Encoder:
         if not self.chunked:
             return self.segmenter.encode(normal)
         chunks, known = self.cut(normal), self.known
-        new = [c for c in set(chunks) if c not in known]
+        new = set(chunks).difference(known)
         if len(known) + len(new) > MEMORY:
-            known = self.known = {}
-            new = list(set(chunks))
-        found = dict(zip(new, self.segmenter.encode(new), strict=True)) if new else {}
-        known.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST_REMEMBERED)
-        out: list[int] = []
-        for c in chunks:
-            out += known[c] if c in known else found[c]
+            known.clear()
+            new = set(chunks)
+        if new:
+            listed = list(new)
+            known.update(zip(listed, self.segmenter.encode(listed), strict=True))
+        out = list(chain.from_iterable(map(known.__getitem__, chunks)))
+        for c in new:
+            if len(c) > LONGEST_REMEMBERED:
+                del known[c]
         return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,7 +229,7 @@ class Encoder:
         if not normal:
             return np.array([self.eos], np.int32), np.array([end]), np.array([end])
         ids = np.array(self._segment(normal), np.int32)
-        if (ids == self.processor.unk_id()).any():
+        if (ids == self.unknown).any():
             stop = self._unknown_ends(normal)
         else:
             stop = np.cumsum(self.size[ids])
@@ -246,8 +255,33 @@ class Encoder:
             ends.append(done)
         return np.array(ends)
 
-    def decode(self, ids: list[int]) -> str:
-        return self.processor.decode(ids)
+    @cached_property
+    def processor(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=self.model)
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids: their bytes joined, without the space that the model puts first.
+
+        Ids that are neither pieces nor bytes, bytes that make no characters and
+        models that squeeze spaces are left to the library.
+        """
+        if not len(ids):
+            return ""
+        if not self.normalize.strip and not self.odd[ids].any():
+            try:
+                out = b"".join(map(self.raw.__getitem__, ids.tolist())).decode()
+                return out[1:] if self.normalize.dummy_prefix and self.spaced[ids[0]] else out
+            except UnicodeDecodeError:
+                pass
+        return self.processor.decode(ids.tolist())
+
+
+@lru_cache(maxsize=1)
+def shared_encoder(model: bytes) -> Encoder:
+    """One encoder a worker process: its memory of chunks outlives a task."""
+    return Encoder(model)
 
 
 OUTPUT = "ids array<int>, begin array<int>, end array<int>, decoded string"
@@ -268,11 +302,10 @@ def encode_documents(docs: DataFrame, model: bytes, key: str = "doc_id", text: s
 
 def _encoder(model: bytes, key: str, text: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
-        for batch in slices(batches, text, 2_000_000):
-            encoder = encoder or Encoder(model)
+        encoder = shared_encoder(model)
+        for batch in slices(batches, text, SLICE):
             rows = [encoder.encode(t) for t in texts(batch, text)]
-            decoded = [encoder.decode(ids[:-1].tolist()) for ids, _, _ in rows]
+            decoded = [encoder.decode(ids[:-1]) for ids, _, _ in rows]
             offsets = pa.array(np.cumsum([0, *(len(r[0]) for r in rows)]), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, np.concatenate([r[k] for r in rows]).astype(np.int32)) for k in range(3)]
             yield pa.RecordBatch.from_arrays(

@@ -37,7 +37,8 @@ WINDOW = 64
 GAINS, TOP = (2, 3, 4, 5, 6), 4
 FEATURES = 2 * len(GAINS) + TOP + 2
 THRESHOLD = 0.7
-MEMORY = 200_000
+#: words whose saving a task remembers, bytes of text that it scores at once
+MEMORY, SLICE = 100_000, 500_000
 
 
 def _parameters() -> zstandard.ZstdCompressionParameters:
@@ -185,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1500, longest: int
 def _scores(model: Model, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, np.ndarray]]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
         scorer = Scorer(model.ordinary, model.toxic)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, SLICE):
             yield batch, score(model, scorer.features(texts(batch, text)))
 
     return run

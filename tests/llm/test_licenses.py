@@ -30,7 +30,7 @@ def test_equals_brute_force(spark):
     vocabulary = sorted({w for t in L.TEMPLATES for w in t.words}) + ["alpha", "Beta", "éa", "9x", "omega"] * 4
     rows = [(0, ""), (1, None), (2, "Under-the MIT license. under the mit license cc by nc cc by nc, CC-BY-NC!"), (3, " ...\n\x00 "),
             (4, "Licensed under the Apache License, Version 2.0."), (4, "Licensed under the Apache License, Version 2.0."),
-            (None, "All Rights\nreserved"), (5, "İ under the mit licensé é under the mit license"), (6, "word " * 60_000 + "under the mit license")]
+            (None, "All Rights\nreserved"), (5, "İ under the mit licensé é under the mit license"), (7, "this wor\u212a is licensed under a creative commons attribution 4 0 international license"), (6, "word " * 60_000 + "under the mit license")]
     for i in range(120):
         t = rng.choice(L.TEMPLATES).text.split()
         for _ in range(rng.randint(0, 6)):

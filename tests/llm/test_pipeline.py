@@ -1,7 +1,7 @@
 import corpus_pipeline as C
 from pyspark.sql import functions as F
 
-from stipple.llm import bayes_join, toxicity
+from stipple.llm import bayes_join, decontaminate, pii, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +37,21 @@ def test_stages_one_by_one(spark, tmp_path):
 def test_run_equals_the_stages(spark):
     rows = C.run(spark, SF)
     assert rows.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0 < rows.count() < 200
+
+
+def test_stages_take_columns_of_any_name(spark):
+    extra = ["whole", "strict", "spans", "new", "__t", "__strict", "__spans", "__new", "name", "same", "many", "own", "__n", "__text", "__k",
+             "__key", "score", "near", "k", "class_id"]
+    names = ["doc_id", "text", *extra]
+    body = "one two three four five six seven mail a@b.cd"
+    rows = [(1, body, *["keep"] * len(extra)), (2, body, *["keep"] * len(extra)), (3, None, *["keep"] * len(extra))]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {'bigint' if n == 'doc_id' else 'string'}" for n in names))
+    clear = pii.redact(docs)
+    assert clear.columns == names
+    assert sorted(tuple(r) for r in clear.collect()) == [
+        (i, body.replace("a@b.cd", "[EMAIL]"), *["keep"] * len(extra)) for i in (1, 2)] + [rows[2]]
+    kept = bayes_join.one_of_each(docs)
+    assert kept.columns == names and sorted(r[0] for r in kept.collect()) == [1, 3]
+    bench = spark.createDataFrame([("item", "three four five six seven mail a@b.cd")], "item_id string, text string")
+    assert decontaminate.clean(docs, bench).collect() == [rows[2]]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == {(1, "item"), (2, "item")}

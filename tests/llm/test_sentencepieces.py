@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 import sentencepiece
 
@@ -20,7 +21,7 @@ def test_ids_equal_the_library(encoder):
     for t in TEXTS:
         ids, begin, end = encoder.encode(t)
         assert ids.tolist() == p.encode(t, add_eos=True), t
-        assert encoder.decode(ids[:-1].tolist()) == p.decode(p.encode(t))
+        assert encoder.decode(ids[:-1]) == p.decode(p.encode(t))
         data = t.encode()
         assert (begin <= end).all() and (begin[1:] >= begin[:-1]).all()
         covered = bytearray(len(data))
@@ -30,6 +31,15 @@ def test_ids_equal_the_library(encoder):
         assert all(covered)
 
 
+def test_any_ids_decode_like_the_library(encoder):
+    rng = np.random.default_rng(0)
+    odd = [0, 1, 2, *np.flatnonzero(encoder.is_byte)[[0, 10, 65, 200, 255]], *np.flatnonzero(encoder.spaced)[:5]]
+    for _ in range(300):
+        ids = rng.integers(0, len(encoder.raw), rng.integers(0, 12))
+        ids[rng.random(len(ids)) < 0.2] = rng.choice(odd)
+        assert encoder.decode(ids) == encoder.processor.decode(ids.tolist())
+
+
 def test_spans_are_the_pieces(encoder):
     text = "Hello  world, schön"
     ids, begin, end = encoder.encode(text)
