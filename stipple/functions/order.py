@@ -208,3 +208,19 @@ def running_min_from_end(df: DataFrame, value: Column, by: Sequence[str], at: st
     after = df.groupBy(*by, part).agg(F.min("_v").alias("_low")).select(*by, part, F.min("_low").over(later).alias("_after"))
     here = Window.partitionBy(*by, part).orderBy(F.desc(at)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return _join(df, after, [*by, part]).withColumn(name, F.least(F.min("_v").over(here), "_after")).drop("_v", "_after")
+
+
+def running_sum_before(df: DataFrame, value: Column, by: Sequence[str], at: str, part: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows before a row in its group, 0 for the first.
+
+    ``at`` and ``part`` are the number and the range of :func:`numbered`; the
+    totals of the earlier ranges are carried over, so a window spans one range.
+    """
+    by = list(by)
+    df = df.withColumn("_v", value)
+    earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    before = df.groupBy(*by, part).agg(F.sum("_v").alias("_s")).select(
+        *by, part, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    here = Window.partitionBy(*by, part).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    return _join(df, before, [*by, part]).withColumn(
+        name, F.col("_before") + F.coalesce(F.sum("_v").over(here), F.lit(0))).drop("_v", "_before")

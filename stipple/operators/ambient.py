@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stipple.functions.order import average_ranks, quantiles
+from stipple.functions.order import average_ranks, numbered, quantiles, running_sum_before
 from stipple.functions.stats import hypergeometric_tail, log_gamma_density, poisson_tail
 from stipple.operators.composition import bh
 from stipple.session import cut
@@ -103,7 +103,7 @@ def ambient_genes(
 
     Genes of a group are taken from the most to the least background-like, and
     a gene's own Poisson tail is combined with the tail of the background
-    counts already used up (Fisher's method, 4 degrees of freedom, for which
+    counts already used up, a running sum over ranges of tails (Fisher's method, 4 degrees of freedom, for which
     the chi-square tail is p (1 - ln p))."""
     per = counts.join(groups.select("cell_id", "group"), "cell_id").groupBy("sample", "group", "gene").agg(
         F.sum("n").alias("obs"))
@@ -112,8 +112,9 @@ def ambient_genes(
     t = per.join(umi, ["sample", "group"]).join(rho.select("sample", "rho"), "sample").join(
         profile.select("sample", "gene", "est"), ["sample", "gene"])
     t = t.withColumn("p", poisson_tail("obs", F.col("umi") * F.col("est") * F.col("rho")))
-    used = Window.partitionBy("sample", "group").orderBy(F.desc("p"), "gene").rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumn("before", F.coalesce(F.sum("obs").over(used), F.lit(0.0)))
+    # tails that differ by rounding only go by gene
+    ordered = numbered(t.withColumn("down", -F.round("p", 9)), ["down", "gene"], ["sample", "group"], "at", part="part")
+    t = running_sum_before(ordered, F.col("obs").cast("double"), ["sample", "group"], "at", "part", "before")
     t = t.withColumn("p_all", poisson_tail("before", F.col("umi") * F.col("rho")))
     pp = F.col("p") * F.col("p_all")
     t = t.withColumn("q", F.when(pp > 0, pp * (1 - F.ln(pp))).otherwise(0.0))

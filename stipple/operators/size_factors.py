@@ -1,118 +1,153 @@
-"""Pooled size factors by deconvolution."""
+"""Pooled size factors by deconvolution.
+
+The cells of a group stand on a ring, ordered so that neighbours have similar
+totals.  Every run of neighbours of some sizes is a pool, whose median ratio to
+the group's average profile is an equation for the factors of its cells.  The
+normal equations of a ring are circulant, and their inverse is a kernel that
+dies out: a cell's factor follows from the right sides of its neighbours.  Both
+steps run over segments of the ring that see a little of the next ones.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stipple.functions.order import quantiles
+from stipple.functions.order import numbered, quantiles
 from stipple.operators.normalize import cell_totals
-from stipple.operators.vectors import gene_index, sql_type
-from stipple.session import cut
+from stipple.operators.vectors import gene_index
+from stipple.session import Scratch
 
 #: pool sizes (fixed values): 21, 26, ..., 101
 POOLS = tuple(range(21, 102, 5))
 #: weight of the equations that make the system solvable
 WEAK = 1e-6
+#: cells of a segment whose pools are formed, and whose equations are solved
+POOLED, SOLVED = 512, 16_384
+#: neighbours beyond which the inverse kernel is below 1e-14 of its peak
+REACH = 4096
+
+
+def _sizes(n: int) -> list[int]:
+    return [w for w in POOLS if w <= n] or [n]
+
+
+def _overlap(n: int, cells: int) -> np.ndarray:
+    """First row of the normal equations on a ring of n cells, with the pools of ``cells``: how many pools a lag shares."""
+    lag, out = np.arange(n), np.zeros(n)
+    for w in _sizes(cells):
+        out += np.maximum(w - lag, 0) + np.maximum(w - (n - lag), 0) * (lag > 0)
+    out[0] += WEAK
+    return out
+
+
+def _segments(table: DataFrame, size: int, before: int, after: int) -> DataFrame:
+    """Rows sent to the segments of their ring that need them: seg, q (place, past 0 and n where the ring closes) and own.
+
+    ``table`` has n and pos.  A ring is cut evenly into segments of at least
+    ``size`` cells; a segment gets the ``before`` cells in front of it and the
+    ``after`` cells behind it, a ring of one segment nothing twice.
+    """
+    k = F.greatest(F.lit(1).cast("bigint"), F.expr(f"n div {size}"))
+    seg = F.expr("(pos * k) div n")
+    low, high = F.expr("(seg * n + k - 1) div k"), F.expr("((seg + 1) * n + k - 1) div k")
+    placed = table.withColumn("k", k).withColumn("seg", seg).withColumns({"low": low, "high": high})
 
+    def sent(to: Column, q: Column, own: bool) -> Column:
+        return F.struct(to.cast("bigint").alias("seg"), q.alias("q"), F.lit(own).alias("own"))
 
-def _ring(totals: np.ndarray) -> np.ndarray:
-    """Cells by total, odd ranks going up and even ranks coming back, so that
-    neighbours on the ring have similar totals."""
-    order = np.argsort(totals, kind="stable")
-    return np.concatenate([order[0::2], order[1::2][::-1]])
-
-
-def _solve(x: np.ndarray, totals: np.ndarray, mean_floor: float) -> np.ndarray:
-    """Size factors of one bounded block of cells (rows) from pooled medians."""
-    n = len(x)
-    shares = x / totals[:, None]
-    average = shares.mean(axis=0) * totals.mean()
-    use = average >= mean_floor
-    if not use.any() or n < 2:
-        return totals / totals.mean()
-    ring = _ring(totals)
-    shares, reference = shares[ring][:, use], average[use]
-    sizes = [w for w in POOLS if w <= n] or [n]
-    lag = np.arange(n)
-    overlap, rhs = np.zeros(n), np.zeros(n)
+    def when(rule: Column, out: Column) -> Column:
+        return F.when(rule & (F.col("k") > 1), F.array(out)).otherwise(F.array().cast("array<struct<seg:bigint,q:bigint,own:boolean>>"))
+
+    place, last = F.col("pos"), F.col("k") - 1
+    back = sent(F.pmod(F.col("seg") - 1, F.col("k")), F.when(F.col("seg") == 0, place + F.col("n")).otherwise(place), False)
+    on = sent(F.pmod(F.col("seg") + 1, F.col("k")), F.when(F.col("seg") == last, place - F.col("n")).otherwise(place), False)
+    all_ = F.concat(F.array(sent(F.col("seg"), place, True)), when(place - F.col("low") < after, back), when(F.col("high") - place <= before, on))
+    return placed.withColumn("to", F.explode(all_)).drop("seg", "low", "high").select("*", "to.*").drop("to")
+
+
+def _pooled(t: pa.Table) -> pa.Table:
+    """Sums of the pool medians over the cells of each pool, from the pools that start in a segment: pos, rhs."""
+    t = t.sort_by("q")
+    n, genes, segments = (int(t.column(c)[0].as_py()) for c in ("n", "used", "k"))
+    own = t.column("own").to_numpy(zero_copy_only=False).astype(bool)
+    lens = t.column("val").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+    _, col = np.unique(t.column("genes").combine_chunks().flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    x = np.zeros((t.num_rows, genes))  # genes without counts here are columns of zeros
+    x[np.repeat(np.arange(len(x)), lens), col] = t.column("val").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    sizes, m = _sizes(n), int(own.sum())
+    if segments == 1:  # the ring closes inside the segment
+        x = np.vstack([x, x[: max(sizes) - 1]])
+    sums = np.vstack([np.zeros((1, genes)), np.cumsum(x, axis=0)])
+    out = np.zeros(m + max(sizes) - 1)
     for w in sizes:
-        padded = np.vstack([np.zeros((1, shares.shape[1])), np.cumsum(np.vstack([shares, shares[: w - 1]]), axis=0)])
-        pool = np.median((padded[w:] - padded[:-w]) / reference, axis=1)
-        # cells i and i + lag share this many pools of size w on the ring
-        overlap += np.maximum(w - lag, 0) + np.maximum(w - (n - lag), 0) * (lag > 0)
-        back = np.concatenate([pool[n - w + 1:], pool])
-        sums = np.concatenate([[0.0], np.cumsum(back)])
-        rhs += sums[w:] - sums[:-w]
-    # normal equations of a ring are circulant: the transform solves them
-    overlap[0] += WEAK
-    rhs += WEAK / average.sum()
-    rate = np.fft.irfft(np.fft.rfft(rhs) / np.fft.rfft(overlap), n)
-    out = np.empty(n)
-    out[ring] = rate
-    factors = out * totals
-    good = factors > 0
-    if not good.all():  # no cell may get a factor <= 0: fall back to its total
-        typical = np.median(factors[good] / totals[good]) if good.any() else 1 / totals.mean()
-        factors[~good] = totals[~good] * typical
-    return factors
-
-
-def pooled_size_factors(
-    counts: DataFrame, groups: DataFrame, min_mean: float = 0.1, max_cells: int = 3000
-) -> DataFrame:
+        pool = np.median(sums[w:w + m] - sums[:m], axis=1)
+        out[: m + w - 1] += np.convolve(pool, np.ones(w))
+    first = int(t.column("q")[0].as_py())
+    return pa.table({"grp": pa.array([t.column("grp")[0].as_py()] * len(out), pa.string()),
+                     "pos": pa.array((first + np.arange(len(out))) % n), "rhs": pa.array(out)})
+
+
+def _solved(t: pa.Table) -> pa.Table:
+    """The rates of the own cells of a segment: the right sides times the inverse kernel."""
+    t = t.sort_by("q")
+    n, segments = (int(t.column(c)[0].as_py()) for c in ("n", "k"))
+    own = t.column("own").to_numpy(zero_copy_only=False).astype(bool)
+    rhs = t.column("rhs").to_numpy()
+    if segments == 1:
+        rate = np.fft.irfft(np.fft.rfft(rhs) / np.fft.rfft(_overlap(n, n)), n)
+    else:
+        kernel = np.fft.irfft(1 / np.fft.rfft(_overlap(4 * REACH, n)), 4 * REACH)
+        rate = np.convolve(rhs, np.concatenate([kernel[-REACH:], kernel[: REACH + 1]]), "valid")
+    return pa.table({"grp": t.column("grp").filter(pa.array(own)), "pos": t.column("pos").filter(pa.array(own)), "rate": pa.array(rate)})
+
+
+def pooled_size_factors(counts: DataFrame, groups: DataFrame, min_mean: float = 0.1) -> DataFrame:
     """``cell_id, size_factor`` with mean one.
 
-    Groups larger than ``max_cells`` are split evenly by id hash, so a task
-    never holds more than one bounded block.  Blocks are brought to one scale
-    by the median ratio of their average profiles to a reference block.
+    A group of any size is one ring.  Groups are brought to one scale by the
+    median ratio of their average profiles to a reference group.  A cell whose
+    factor would not be positive takes the typical factor of its group for its
+    total; so do all cells of a group without a gene of ``min_mean``.
     """
-    counts = cut(counts.where("n > 0").select("cell_id", "gene", "n"), "counts")
-    totals = cut(cell_totals(counts), "totals")
-    lab = totals.join(groups.select("cell_id", "group"), "cell_id")
-    parts = lab.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / max_cells).cast("int").alias("_p"))
-    placed = cut(lab.join(parts, "group").select(
-        "cell_id", "total", F.concat_ws("/", "group", F.pmod(F.xxhash64("cell_id"), F.col("_p")).cast("string")).alias("blk")),
-        "blocks")
-    index = cut(gene_index(counts), "index")
-    pairs = F.collect_list(F.struct("i", "n"))
-    rows = counts.join(index, "gene").join(placed, "cell_id").groupBy("blk", "cell_id").agg(
-        F.max("total").alias("total"), pairs.alias("p")
-    ).select("blk", "cell_id", "total", F.col("p.i").alias("genes"), F.col("p.n").alias("val"))
-    id_type = sql_type(counts, "cell_id")
-
-    def solve(t: pa.Table) -> pa.Table:
-        t = t.take(pa.array(np.argsort(t.column("cell_id").to_numpy(), kind="stable")))
-        lens = t.column("val").combine_chunks().value_lengths().to_numpy()
-        names, col = np.unique(t.column("genes").combine_chunks().flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-        total = t.column("total").to_numpy()
-        val = t.column("val").combine_chunks().flatten().to_numpy()
-        row = np.repeat(np.arange(len(lens)), lens)
-        # only genes that can reach the mean floor become columns
-        mean = np.bincount(col, weights=val / total[row], minlength=len(names)) / len(lens) * total.mean()
-        use = np.flatnonzero(mean >= min_mean)
-        pos = np.full(len(names), -1)
-        pos[use] = np.arange(len(use))
-        keep = pos[col] >= 0
-        x = np.zeros((len(lens), len(use)))
-        x[row[keep], pos[col[keep]]] = val[keep]
-        return pa.table({"blk": t.column("blk"), "cell_id": t.column("cell_id"),
-                         "nf": pa.array(_solve(x, total, min_mean))})
-
-    solved = cut(rows.groupBy("blk").applyInArrow(solve, f"blk string, cell_id {id_type}, nf double"), "solved")
-    shape = placed.groupBy("blk").agg(F.count(F.lit(1)).alias("cells"), F.avg("total").alias("depth"))
-    profile = cut(
-        counts.join(placed, "cell_id").groupBy("blk", "gene").agg(F.sum(F.col("n") / F.col("total")).alias("s"))
-        .join(shape, "blk").select("blk", "gene", (F.col("s") / F.col("cells") * F.col("depth")).alias("ave")), "profile")
-    widest = profile.groupBy("blk").agg(F.count(F.lit(1)).alias("g")).agg(
-        F.max_by("blk", F.struct("g", "blk")).alias("blk"))
-    ref = profile.join(F.broadcast(widest), "blk").select("gene", F.col("ave").alias("ref"))  # one block
-    ratio = profile.join(ref, "gene").where((F.col("ave") + F.col("ref")) / 2 >= min_mean).select(
-        "blk", (F.col("ave") / F.col("ref")).alias("ratio"))
-    scale = quantiles(ratio, ["blk"], ["ratio"], {"scale": 0.5}).select("blk", "scale")
-    scaled = cut(solved.join(scale, "blk", "left").select(
-        "cell_id", (F.col("nf") * F.coalesce("scale", F.lit(1.0))).alias("sf")), "scaled")
+    store = Scratch(counts.sparkSession, "factors")
+    counts = store.save(counts.where("n > 0").select("cell_id", "gene", "n"), "counts")
+    index = store.save(gene_index(counts), "index")
+    lab = cell_totals(counts).join(groups.select("cell_id", F.col("group").cast("string").alias("grp")), "cell_id")
+    r, n = F.col("r"), F.col("n")
+    # even ranks go up, odd ranks come back
+    pos = F.when(r % 2 == 0, F.expr("r div 2")).otherwise(n - 1 - F.expr("r div 2"))
+    cells = store.save(numbered(lab, ["total", "cell_id"], ["grp"], "r", size="n").withColumn("pos", pos).drop("r"), "cells")
+    shape = cells.groupBy("grp").agg(F.count(F.lit(1)).alias("cells"), F.avg("total").alias("depth"))
+    profile = counts.withColumnRenamed("n", "c").join(cells.select("cell_id", "grp", "total"), "cell_id").groupBy("grp", "gene").agg(
+        F.sum(F.col("c") / F.col("total")).alias("s"))
+    profile = store.save(profile.join(shape, "grp").select("grp", "gene", (F.col("s") / F.col("cells") * F.col("depth")).alias("ave")), "profile")
+    used = store.save(profile.where(F.col("ave") >= min_mean).join(index, "gene"), "used")
+    each = store.save(used.groupBy("grp").agg(F.count(F.lit(1)).alias("used"), F.sum("ave").alias("mass")), "each")
+
+    entries = counts.withColumnRenamed("n", "c").join(cells.select("cell_id", "grp", "total"), "cell_id").join(used, ["grp", "gene"])
+    entries = entries.groupBy("grp", "cell_id").agg(F.collect_list(F.struct(
+        "i", (F.col("c") / F.col("total") / F.col("ave")).alias("v"))).alias("p"))
+    rows = cells.where("n > 1").join(each, "grp").join(entries, ["grp", "cell_id"], "left").select(
+        "grp", "n", "pos", "used", F.coalesce(F.col("p.i"), F.array().cast("array<int>")).alias("genes"),
+        F.coalesce(F.col("p.v"), F.array().cast("array<double>")).alias("val"))
+    sides = _segments(rows, POOLED, 0, max(POOLS) - 1).groupBy("grp", "seg").applyInArrow(_pooled, "grp string, pos bigint, rhs double")
+    sides = store.save(sides.groupBy("grp", "pos").agg(F.sum("rhs").alias("rhs")), "sides")
+    ring = sides.join(each, "grp").join(shape, "grp").select(
+        "grp", "pos", F.col("cells").alias("n"), (F.col("rhs") + WEAK / F.col("mass")).alias("rhs"))
+    rates = _segments(ring, SOLVED, REACH, REACH).groupBy("grp", "seg").applyInArrow(_solved, "grp string, pos bigint, rate double")
+    rates = store.save(rates, "rates")
+    typical = quantiles(rates.where("rate > 0"), ["grp"], ["rate"], {"typical": 0.5}).select("grp", "typical")
+    solved = cells.join(rates, ["grp", "pos"], "left").join(shape, "grp").join(typical, "grp", "left").select(
+        "grp", "cell_id", (F.col("total") * F.when(F.col("rate") > 0, F.col("rate")).otherwise(
+            F.coalesce("typical", 1 / F.col("depth")))).alias("nf"))
+
+    widest = profile.groupBy("grp").agg(F.count(F.lit(1)).alias("g")).agg(F.max_by("grp", F.struct("g", "grp")).alias("grp"))
+    ref = profile.join(F.broadcast(widest), "grp").select("gene", F.col("ave").alias("ref"))  # one group
+    ratio = profile.join(ref, "gene").where((F.col("ave") + F.col("ref")) / 2 >= min_mean).select("grp", (F.col("ave") / F.col("ref")).alias("ratio"))
+    scale = quantiles(ratio, ["grp"], ["ratio"], {"scale": 0.5}).select("grp", "scale")
+    scaled = store.save(solved.join(scale, "grp", "left").select("cell_id", (F.col("nf") * F.coalesce("scale", F.lit(1.0))).alias("sf")), "scaled")
     mean = scaled.agg(F.avg("sf").alias("_m"))
     return scaled.join(F.broadcast(mean)).select("cell_id", (F.col("sf") / F.col("_m")).alias("size_factor"))

@@ -11,7 +11,7 @@ from stipple.operators import features, labels, normalize
 from stipple.operators.combat import combat as combat_
 from stipple.operators.vectors import cell_vectors, gene_index
 from stipple.plans import tables as tb
-from stipple.plans.registry import VECTORS, query, rounded, with_
+from stipple.plans.registry import CELLS, COUNTS, VECTORS, query, rounded, with_
 from stipple.session import cut
 
 KNN = """d AS (SELECT a.cell_id src, b.cell_id dst, list_distance(a.vec, b.vec) dist FROM vectors a JOIN vectors b ON a.cell_id <> b.cell_id),
@@ -262,6 +262,34 @@ def contamination(spark, sf):
     return rounded(ambient.contamination(*grouped_counts(spark, sf)))
 
 
+AMBIENT = """per AS (SELECT counts.sample, cluster grp, gene, CAST(SUM(n) AS DOUBLE) obs FROM counts JOIN cells USING (cell_id) GROUP BY ALL),
+um AS (SELECT sample, grp, SUM(obs) umi FROM per GROUP BY ALL),
+pf AS (SELECT sample, gene, SUM(obs) / SUM(SUM(obs)) OVER (PARTITION BY sample) est FROM per GROUP BY sample, gene),
+tt AS (SELECT *, umi * est * 0.05 lam FROM per JOIN um USING (sample, grp) JOIN pf USING (sample, gene)),
+tp AS (SELECT *, 1 - COALESCE(list_sum(list_transform(range(0, CAST(obs AS BIGINT)), lambda k: exp(k * ln(lam) - lam - lgamma(k + 1)))), 0) p FROM tt),
+ob AS (SELECT *, COALESCE(SUM(obs) OVER (PARTITION BY sample, grp ORDER BY ROUND(p, 9) DESC, gene ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b FROM tp),
+pm AS (SELECT sample, grp, k, SUM(exp(k * ln(umi * 0.05) - umi * 0.05 - lgamma(k + 1))) OVER (PARTITION BY sample, grp ORDER BY k) cdf
+  FROM (SELECT *, unnest(range(0, CAST(umi AS BIGINT))) k FROM um)),
+pa AS (SELECT ob.*, CASE WHEN b = 0 THEN p ELSE p * GREATEST(1 - cdf, 0) END pp FROM ob LEFT JOIN pm ON pm.sample = ob.sample AND pm.grp = ob.grp AND pm.k = b - 1),
+qq AS (SELECT *, CASE WHEN pp > 0 THEN pp * (1 - ln(pp)) ELSE 0 END q FROM pa)"""
+
+
+@query("ambient_gene_tests", with_(CELLS, COUNTS, AMBIENT) + 'SELECT sample, grp "group", gene, obs, ROUND(p, 6) p, ROUND(q, 6) q, q < 0.01 keep FROM qq')
+def ambient_gene_tests(spark, sf):
+    """The tests behind the removal at one contamination for all samples."""
+    counts, groups, profile = grouped_counts(spark, sf)
+    rho = profile.select("sample").distinct().withColumn("rho", F.lit(0.05))
+    t = ambient.ambient_genes(counts, groups, profile, rho)
+    return rounded(t.withColumn("obs", F.col("obs").cast("double")))
+
+
+@query("remove_ambient_fixed", with_(CELLS, COUNTS, AMBIENT) + """SELECT counts.sample, cell_id, counts.gene, n FROM counts JOIN cells USING (cell_id)
+JOIN qq ON qq.sample = counts.sample AND qq.grp = cells.cluster AND qq.gene = counts.gene WHERE q < 0.01""")
+def remove_ambient_fixed(spark, sf):
+    counts, groups, profile = grouped_counts(spark, sf)
+    return ambient.remove_ambient(counts, groups, profile, profile.select("sample").distinct().withColumn("rho", F.lit(0.05)))
+
+
 @query("remove_ambient")
 def remove_ambient(spark, sf):
     counts, groups, profile = grouped_counts(spark, sf)

@@ -37,9 +37,13 @@ def norm_layer(spark, sf):
 # ---- sources -------------------------------------------------------------------------------
 
 
-def write_wide_csv(spark, sf, scratch):
+def write_wide_csv(spark, sf, scratch, spoil: bool = False):
     """The basket matrix as wide text files, one folder per sample, named
-    ``<n>_<region>_M_<condition>_qc_norm.csv`` like sample files."""
+    ``<n>_<region>_M_<condition>_qc_norm.csv`` like sample files.
+
+    With ``spoil``, samples whose number leaves 1, 2 or 3 of 7 have an entry
+    too many in every line of a gene that ends in 5, a word instead of the first number there, or
+    a file name with an unknown condition."""
     cells = tb.basket_cells(spark, sf)
     order = cells.groupBy("sample", "condition").agg(
         F.array_sort(F.collect_list("cell_id")).alias("ids"))
@@ -48,8 +52,14 @@ def write_wide_csv(spark, sf, scratch):
         F.map_from_entries(F.collect_list(F.struct("cell_id", F.col("n").cast("bigint")))).alias("m"))
     line = F.concat_ws(",", "gene", F.transform(
         "ids", lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)).cast("string")))
-    name = F.concat_ws("_", F.regexp_extract("sample", r"(\d+)", 1), F.lit("0"), F.lit("M"), "condition", F.lit("qc"),
-                       F.lit("norm.csv"))
+    number = F.regexp_extract("sample", r"(\d+)", 1)
+    condition = F.col("condition")
+    if spoil:
+        kind = number.cast("int") % 7
+        condition = F.when(kind == 3, "XX").otherwise(condition)
+        line = F.when(F.col("gene").endswith("5") & (kind == 1), F.concat(line, F.lit(",0"))).when(
+            F.col("gene").endswith("5") & (kind == 2), F.concat(F.col("gene"), F.lit(",many"), F.expr("repeat(',0', size(ids) - 1)"))).otherwise(line)
+    name = F.concat_ws("_", number, F.lit("0"), F.lit("M"), condition, F.lit("qc"), F.lit("norm.csv"))
     body = per_gene.join(order, "sample").select(name.alias("f"), line.alias("value"), F.lit(1).alias("o"), "gene")
     head = order.select(name.alias("f"), F.concat_ws(",", F.lit("Gene"), F.array_join("ids", ",")).alias("value"),
                         F.lit(0).alias("o"), F.lit("").alias("gene"))
@@ -64,12 +74,33 @@ SELECT sample, condition, gene, COUNT(*) n_cells, ROUND(SUM(n), 6) total
 FROM counts JOIN (SELECT cell_id, condition FROM cells) USING (cell_id) GROUP BY ALL""")
 def csv_matrix_read(spark, sf):
     path = write_wide_csv(spark, sf, Scratch(spark, "csv"))
-    lines = matrix_csv.read_counts_from_folders(spark, path)
+    lines = matrix_csv.read_counts(spark, path, folder="f")
     return rounded(lines.groupBy(F.concat(F.lit("NATION_"), F.split_part("sample", F.lit("_"), F.lit(1))).alias("sample"),
                                  "condition", "gene")
                    .agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("total")))
 
 
+NUMBERED = """num AS (SELECT counts.sample, CAST(regexp_extract(counts.sample, '(\\d+)', 1) AS INT) number, condition, gene, cell_id, n
+  FROM counts JOIN (SELECT cell_id, condition FROM cells) USING (cell_id))"""
+
+
+@query("quarantine", with_(CELLS, COUNTS, NUMBERED) + """SELECT number || '_0_M_' || CASE number % 7 WHEN 3 THEN 'XX' ELSE condition END sample,
+CASE number % 7 WHEN 1 THEN 'ragged row' WHEN 2 THEN 'not a number' ELSE 'bad file name' END reason, COUNT(DISTINCT gene) n_lines
+FROM num WHERE number % 7 = 3 OR number % 7 IN (1, 2) AND gene LIKE '%5' GROUP BY ALL""")
+def quarantine(spark, sf):
+    path = write_wide_csv(spark, sf, Scratch(spark, "csv"), spoil=True)
+    return rounded(matrix_csv.quarantine(spark, path, folder="f").select("sample", "reason", "n_lines"))
+
+
+@query("read_samples", with_(CELLS, COUNTS, NUMBERED) + """SELECT number || '_0_M_' || condition sample, 'M' sex, condition, cell_id, COUNT(*) n_genes, ROUND(SUM(n), 6) total
+FROM num WHERE number % 7 NOT IN (1, 2, 3) GROUP BY ALL""")
+def read_samples(spark, sf):
+    path = write_wide_csv(spark, sf, Scratch(spark, "csv"), spoil=True)
+    counts, cells, _ = matrix_csv.read_samples(spark, path, folder="f")
+    per = counts.groupBy("sample", "cell_id").agg(F.count(F.lit(1)).alias("n_genes"), F.sum("n").alias("total"))
+    return rounded(cells.join(per, ["sample", "cell_id"]).select("sample", "sex", "condition", "cell_id", "n_genes", "total"))
+
+
 @query("sample_fields", """
 WITH f AS (SELECT n_nationkey || '_' || n_regionkey || '_' || CASE WHEN n_nationkey % 2 = 0 THEN 'M' ELSE 'F' END
   || '_' || CASE WHEN n_regionkey % 2 = 0 THEN 'WT' ELSE 'KO' END || '_qc_norm.h5ad' f FROM nation)

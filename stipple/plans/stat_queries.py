@@ -269,7 +269,19 @@ def rank_genes(spark, sf):
     return rounded(r.select("cluster", "gene", "rank", "z"))
 
 
-@query("rank_genes_pvalues", None)
+#: twice the upper normal tail of z: a series for small z, a continued fraction beyond
+TAIL = """CASE WHEN x = 0 THEN 1 WHEN x < 2.5 THEN 1 - 2 / sqrt(pi()) * exp(-x * x) * list_sum(list_transform(range(0, 80), lambda k:
+  exp((2 * k + 1) * ln(x) + 2 * k * ln(2.0) + lgamma(k + 1) - lgamma(2 * k + 2))))
+ELSE exp(-x * x) / (x * sqrt(pi())) / list_reduce(list_prepend(CAST(1 AS DOUBLE), list_transform(range(80, 0, -1), lambda k: k / (2 * x * x))),
+  lambda acc, a: 1 + a / acc) END"""
+ADJUSTED = f"""pz AS (SELECT cluster, gene, z, {TAIL} p FROM (SELECT *, abs(z) / sqrt(2.0) x FROM zz)),
+pr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY p, gene) r, COUNT(p) OVER (PARTITION BY cluster) m FROM pz),
+pb AS (SELECT *, LEAST(1, MIN(p * m / r) OVER (PARTITION BY cluster ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) padj,
+  ROW_NUMBER() OVER (PARTITION BY cluster ORDER BY z DESC, gene) "rank" FROM pr)"""
+
+
+@query("rank_genes_pvalues", with_(CELLS, COUNTS, NORM, RANKS, ADJUSTED) + """SELECT cluster, gene, "rank", ROUND(z, 6) z, ROUND(p, 6) pvalue,
+ROUND(padj, 6) padj, padj < 0.05 significant FROM pb WHERE "rank" <= 20""")
 def rank_genes_pvalues(spark, sf):
     return rounded(score.rank_genes(norm_layer(spark, sf), tb.basket_cells(spark, sf)).select(
         "cluster", "gene", "rank", "z", "pvalue", "padj", "significant"))

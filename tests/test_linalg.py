@@ -1,6 +1,7 @@
 """Decompositions, batch correction and residuals against dense numpy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,8 +132,7 @@ def test_bad_size_factor_stops_the_job(spark):
         normalize.apply_size_factors(c, spark.createDataFrame([("c", 0.0)], "cell_id string, size_factor double")).collect()
 
 
-@pytest.mark.parametrize("max_cells", [3000, 150])
-def test_pooled_size_factors_recover_known_ones(spark, max_cells):
+def test_pooled_size_factors_recover_known_ones(spark):
     rng = np.random.default_rng(5)
     true = rng.lognormal(0, 0.4, size=400)
     group = np.arange(400) % 2
@@ -141,9 +141,47 @@ def test_pooled_size_factors_recover_known_ones(spark, max_cells):
     base[1, :20] *= 8  # composition differs between groups
     x = rng.poisson(true[:, None] * base[group])
     groups = spark.createDataFrame([(f"c{i:03d}", str(group[i])) for i in range(400)], "cell_id string, group string")
-    got = size_factors.pooled_size_factors(long(spark, x, "n"), groups, max_cells=max_cells)
+    got = size_factors.pooled_size_factors(long(spark, x, "n"), groups)
     sf = got.orderBy("cell_id").toPandas().size_factor.to_numpy()
     assert abs(sf.mean() - 1) < 1e-9
     assert np.corrcoef(np.log(sf), np.log(true))[0, 1] > 0.97
     r = sf / true
     assert abs(np.median(r[group == 0]) / np.median(r[group == 1]) - 1) < 0.1
+
+
+@pytest.mark.parametrize("pooled,solved", [(512, 16_384), (150, 16_384), (150, 8192)])
+def test_pooled_size_factors_equal_the_dense_solution(spark, monkeypatch, pooled, solved):
+    n = 17_000 if solved == 8192 else 1500
+    monkeypatch.setattr(size_factors, "POOLED", pooled)
+    monkeypatch.setattr(size_factors, "SOLVED", solved)
+    rng = np.random.default_rng(6)
+    x = rng.poisson(rng.lognormal(0, 0.4, size=(n, 1)) * rng.gamma(1.0, 2.0, size=(1, 6 if n > 2000 else 40)))
+    x[:, 0] += 1
+    ids = np.array([f"c{i:05d}" for i in range(n)])
+    r, c = np.nonzero(x)
+    table = spark.createDataFrame(pa.table({"cell_id": ids[r], "gene": [f"g{j}" for j in c], "n": x[r, c].astype(float)}).to_pandas())
+    groups = spark.createDataFrame(pa.table({"cell_id": ids, "group": ["a"] * n}).to_pandas())
+    got = size_factors.pooled_size_factors(cut(table), groups).orderBy("cell_id").toPandas().size_factor.to_numpy()
+    total = x.sum(axis=1).astype(float)
+    share = x / total[:, None]
+    average = share.mean(axis=0) * total.mean()
+    share, average = share[:, average >= 0.1], average[average >= 0.1]
+    order = np.argsort(total, kind="stable")
+    ring = np.concatenate([order[0::2], order[1::2][::-1]])
+    a, b = np.zeros(n), np.zeros(n)
+    for w in range(21, 102, 5):
+        hot = np.zeros(n)
+        hot[:w] = 1
+        run = np.vstack([share[ring], share[ring][: w - 1]])
+        sums = np.vstack([np.zeros((1, run.shape[1])), np.cumsum(run, axis=0)])
+        pool = np.median((sums[w:] - sums[:-w]) / average, axis=1)
+        f = np.fft.rfft(hot)
+        a += np.fft.irfft(f * f.conj(), n)
+        b += np.fft.irfft(np.fft.rfft(pool) * f, n)  # the cells of a pool get its median
+    a[0] += 1e-6
+    b += 1e-6 / average.sum()
+    rate = np.fft.irfft(np.fft.rfft(b) / np.fft.rfft(a), n)
+    want = np.empty(n)
+    want[ring] = np.where(rate > 0, rate, np.median(rate[rate > 0]))
+    want *= total
+    assert np.allclose(got, want / want.mean(), rtol=1e-6)

@@ -28,6 +28,13 @@ def test_counts_and_fields(spark, folder):
     assert got[("100_3_F_WT", "F", "WT", "Cell3", "GeneD")] == 3 and len(got) == 13
 
 
+def test_cell_names_that_look_like_numbers(spark, tmp_path):
+    names = [str(i) for i in range(40)]
+    (tmp_path / "5_1_M_KO_qc_norm.csv").write_text("Gene, " + ",".join(names) + "\nG1" + ",1" * 40 + "\n")
+    counts, cells, _ = matrix_csv.read_samples(spark, str(tmp_path))
+    assert sorted(r.cell_id for r in cells.collect()) == sorted(r.cell_id for r in counts.collect()) == sorted(names)
+
+
 @pytest.mark.parametrize("line,reason", [
     ("GeneX,1,2,3\n", "ragged row"), ("GeneX,1,x,3,4\n", "not a number"),
     ("GeneX,1,-2,3,4\n", "negative count"), (",1,2,3,4\n", "empty gene")])

@@ -15,7 +15,7 @@ def test_folder_reader_stops_at_bad_values(spark, tmp_path):
     folder.mkdir()
     (folder / "part-0").write_text("Gene,c1,c2\ng1,5,x\n")
     with pytest.raises(Exception, match="not a number"):
-        matrix_csv.read_counts_from_folders(spark, str(tmp_path)).collect()
+        matrix_csv.read_counts(spark, str(tmp_path), folder="f").collect()
 
 
 def test_other_conditions_can_be_named(spark, tmp_path):
