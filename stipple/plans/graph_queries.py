@@ -90,7 +90,7 @@ def lda_rank_test(spark, sf):
 def combat(spark, sf):
     layer = norm(spark, sf)
     cells = cut(tb.basket_cells(spark, sf), "cells")
-    index = cut(gene_index(features.top_genes_by_mean(layer, cells, 1000)), "index")
+    index = cut(gene_index(features.top_genes_by_mean(layer, cells, 10_000)), "index")
     return combat_(layer, cells, index)
 
 
@@ -313,7 +313,7 @@ def artificial_doublets(spark, sf):
 
 @query("doublet_scores")
 def doublet_scores(spark, sf):
-    return rounded(doublets.doublets(tb.basket_counts(spark, sf), n_genes=300))
+    return rounded(doublets.doublets(tb.basket_counts(spark, sf)))
 
 
 @query("pooled_size_factors")

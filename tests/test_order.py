@@ -46,3 +46,39 @@ def test_average_ranks(skewed, limit):
             less, same = (v < r.x).sum(), (v == r.x).sum()
             assert r["rank"] == less + (same + 1) / 2 and r.ties == same and r.group_n == len(v)
             assert r.pos == (same if r.x > 0 else 0)
+
+
+def test_numbering_over_ranges(spark):
+    from stipple.functions.order import numbered, running_min_from_end, running_sum_before
+    from stipple.operators.vectors import gene_index
+
+    genes = spark.range(250_000).select(F.concat(F.lit("g"), F.col("id").cast("string")).alias("gene"))
+    index = gene_index(genes).toPandas().sort_values("gene")
+    assert (index.i.to_numpy() == np.arange(250_000)).all()
+    rng = np.random.default_rng(2)
+    group, value = rng.choice(["a", "b", None], 3000, p=[0.9, 0.09, 0.01]), rng.normal(size=3000)
+    table = spark.createDataFrame([(g, int(i), float(v)) for i, (g, v) in enumerate(zip(group, value))], "g string, i int, v double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges for so few rows
+    got = numbered(table, ["v", "i"], ["g"], "at", size="n", part="part")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    got = running_min_from_end(got, F.col("v") * F.col("v"), ["g"], "at", "part", "low")
+    got = running_sum_before(got, F.col("v"), ["g"], "at", "part", "before").toPandas()
+    assert len(got) == 3000 and got.part.nunique() > 1
+    for _, rows in got.groupby("g", dropna=False):
+        rows = rows.sort_values("at")
+        assert (rows["at"].to_numpy() == np.arange(len(rows))).all() and (rows.n == len(rows)).all() and rows.v.is_monotonic_increasing
+        assert np.allclose(rows.low, np.minimum.accumulate((rows.v ** 2).to_numpy()[::-1])[::-1])
+        assert np.allclose(rows.before, np.concatenate([[0], np.cumsum(rows.v)[:-1]]))
+
+
+def test_adjustment_over_ranges_with_ties_and_nulls(spark):
+    from stipple.operators.composition import bh
+
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random(2000) ** 3, 3)
+    rows = [("x", i, float(v)) for i, v in enumerate(p)] + [("x", 5000, None), ("y", 1, 0.2), ("z", 1, None)]
+    got = bh(spark.createDataFrame(rows, "c string, i int, pvalue double").repartition(7), by=["c"], tie=["i"]).toPandas()
+    x = got[(got.c == "x") & got.pvalue.notna()].sort_values(["pvalue", "i"])
+    q = np.minimum.accumulate((x.pvalue.to_numpy() * 2000 / np.arange(1, 2001))[::-1])[::-1]
+    assert np.allclose(x.padj, np.minimum(q, 1)) and got[got.pvalue.isna()].padj.isna().all()
+    assert got[got.c == "y"].padj.tolist() == [0.2] and len(got) == 2003
