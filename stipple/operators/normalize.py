@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stipple.functions.order import median
 from stipple.session import cut
-from stipple.operators.vectors import batches, dense_rows, sql_type
+from stipple.operators.vectors import BLOCK_DOUBLES, list_array, sql_type
 
 
 def cell_totals(counts: DataFrame) -> DataFrame:
@@ -82,23 +82,32 @@ def scale(expr: DataFrame, cells: DataFrame, max_value: float | None = 10.0) ->
 
 
 def pearson_residuals(
-    vecs: DataFrame, gene_totals: np.ndarray, n_cells: int, theta: float = 100.0,
-    clip: float | None = None,
+    vecs: DataFrame, gene_totals: DataFrame, n_cells: int, theta: float = 100.0, clip: float | None = None,
 ) -> DataFrame:
     """Dense analytic residuals, one array per cell over the gene index.
 
-    ``vecs`` holds count vectors; ``gene_totals`` follows the same index and
-    is as long as the gene dimension, never as the number of cells.
+    ``vecs`` holds count vectors; ``gene_totals`` has the total ``t`` of every
+    gene ``i`` of the same index.  A block of cells meets the totals once, in
+    a task; neither passes through the driver.
     """
-    totals = np.asarray(gene_totals, dtype=np.float64)
-    grand, width = float(totals.sum()), len(totals)
+    width = gene_totals.count()
+    step = max(1, BLOCK_DOUBLES // max(width, 1))
+    blocks = max(1, -(-n_cells // step))
     bound = float(np.sqrt(n_cells)) if clip is None else float(clip)
-
-    def residuals(it):
-        for ids, x in dense_rows(it, width):
-            mu = x.sum(axis=1, keepdims=True) * (totals / grand)[None, :]
-            sd = np.sqrt(mu + mu * mu / theta)
-            z = np.divide(x - mu, sd, out=np.zeros_like(x), where=sd > 0)
-            yield from batches(cell_id=ids, vec=np.clip(z, -bound, bound))
-
-    return vecs.mapInArrow(residuals, f"cell_id {sql_type(vecs, 'cell_id')}, vec array<double>")
+    told = gene_totals.agg(F.sort_array(F.collect_list(F.struct("i", F.col("t").cast("double").alias("t")))).alias("p"))  # one row
+    told = told.select(F.col("p.t").alias("t"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("blk"))
+    placed = vecs.withColumn("blk", F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int"))
+
+    def residuals(cells: pa.Table, told: pa.Table) -> pa.Table:
+        totals = told.column("t").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        lens = cells.column("idx").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        x = np.zeros((cells.num_rows, width))
+        x[np.repeat(np.arange(len(x)), lens), cells.column("idx").combine_chunks().flatten().to_numpy(zero_copy_only=False)] = (
+            cells.column("val").combine_chunks().flatten().to_numpy(zero_copy_only=False))
+        mu = x.sum(axis=1, keepdims=True) * (totals / totals.sum())[None, :]
+        sd = np.sqrt(mu + mu * mu / theta)
+        z = np.divide(x - mu, sd, out=np.zeros_like(x), where=sd > 0)
+        return pa.table({"cell_id": cells.column("cell_id"), "vec": list_array(np.clip(z, -bound, bound))})
+
+    return placed.groupBy("blk").cogroup(told.groupBy("blk")).applyInArrow(
+        residuals, f"cell_id {sql_type(vecs, 'cell_id')}, vec array<double>")

@@ -60,14 +60,20 @@ def score_genes(
 
 
 def score_cell_cycle(
-    expr: DataFrame, cells: DataFrame, s_genes: Sequence[str], g2m_genes: Sequence[str],
+    expr: DataFrame, cells: DataFrame, s_genes: Sequence[str] | DataFrame, g2m_genes: Sequence[str] | DataFrame,
     seed: int = 0, n_bins: int = 25,
 ) -> DataFrame:
-    """``cell_id, s_score, g2m_score``; controls per bin = the smaller set."""
-    spark = expr.sparkSession
-    rows = [("S", g) for g in s_genes] + [("G2M", g) for g in g2m_genes]
-    sets = spark.createDataFrame(rows, "set_name string, gene string")
-    ctrl = min(len(set(s_genes)), len(set(g2m_genes)))
+    """``cell_id, s_score, g2m_score``; controls per bin = the smaller set.
+    A set is a list of names or a table with a column ``gene``."""
+
+    def named(genes: Sequence[str] | DataFrame, name: str) -> DataFrame:
+        if not isinstance(genes, DataFrame):
+            genes = expr.sparkSession.createDataFrame([(g,) for g in genes], "gene string")
+        return genes.select(F.lit(name).alias("set_name"), "gene").distinct()
+
+    sets = cut(named(s_genes, "S").unionByName(named(g2m_genes, "G2M")), "sets")
+    sizes = sets.agg(*[F.count_if(F.col("set_name") == name) for name in ("S", "G2M")]).first()
+    ctrl = min(sizes)
     long = score_genes(expr, cells, sets, n_bins=n_bins, ctrl=ctrl, seed=seed)
     return long.groupBy("cell_id").agg(
         F.max(F.when(F.col("set_name") == "S", F.col("score"))).alias("s_score"),

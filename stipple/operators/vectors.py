@@ -59,21 +59,6 @@ def matrix(table: pa.RecordBatch | pa.Table, column: str = "vec") -> np.ndarray:
     return _list_matrix(table.column(column))
 
 
-def dense_rows(it: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(ids, dense block) pairs of bounded size from sparse vector batches."""
-    step = max(1, BLOCK_DOUBLES // max(width, 1))
-    for batch in it:
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            lens = part.column("idx").value_lengths().to_numpy(zero_copy_only=False)
-            rows = np.repeat(np.arange(part.num_rows), lens)
-            x = np.zeros((part.num_rows, width))
-            x[rows, part.column("idx").flatten().to_numpy(zero_copy_only=False)] = (
-                part.column("val").flatten().to_numpy(zero_copy_only=False)
-            )
-            yield part.column("cell_id"), x
-
-
 def list_array(m: np.ndarray) -> pa.Array:
     """2-D array as a list<double> column."""
     n, d = m.shape

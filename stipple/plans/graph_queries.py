@@ -134,7 +134,7 @@ def resolution_scan(spark, sf):
 @query("layout")
 def layout_(spark, sf):
     g = graph(spark, sf)
-    start, _ = trajectory.diffmap(g, 3)
+    start, _ = trajectory.diffmap(g, 3, tol=1e-3, block=20)
     return layout.layout(g, start.select("cell_id", F.slice("vec", 2, 2).alias("vec")), epochs=8)
 
 

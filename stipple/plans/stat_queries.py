@@ -13,6 +13,7 @@ from stipple.plans.qc_queries import (
     BASE, TWO_SQL, cell_metrics, flagged_cells, norm_layer, part_sets, two_regulons,
 )
 from stipple.plans.registry import CELLS, COUNTS, FLAGGED, GENES, NORM, QC, TOKENS, VECTORS, query, rounded, with_
+from stipple.session import cut
 
 NORMED = with_(CELLS, COUNTS, NORM)
 
@@ -69,9 +70,9 @@ ROUND(SUM(power(GREATEST(-lim, LEAST(lim, raw)), 2)), 4) residual_ss FROM r, l G
 def pearson_residuals(spark, sf):
     counts = tb.basket_counts(spark, sf)
     index = gene_index(counts)
-    totals = counts.groupBy("gene").agg(F.sum("n").alias("t")).join(index, "gene").orderBy("i").select("t").toPandas()["t"]
-    vecs = cell_vectors(counts, index, "n")
-    res = normalize.pearson_residuals(vecs, totals.to_numpy(), vecs.count())
+    totals = counts.groupBy("gene").agg(F.sum("n").alias("t")).join(index, "gene").select("i", "t")
+    vecs = cut(cell_vectors(counts, index, "n"), "vectors")
+    res = normalize.pearson_residuals(vecs, totals, vecs.count())
     def total(f):
         return F.aggregate("vec", F.lit(0.0), f)
     return rounded(res.select("cell_id", total(lambda a, x: a + x).alias("residual_sum"),
@@ -207,9 +208,7 @@ def score_genes(spark, sf):
 
 def _cycle(spark, sf):
     names = tb.basket_genes(spark, sf)
-    # the panels are short lists by nature: parts of two brands and one type
-    s = [r[0] for r in names.where("brand = 'Brand#3' and type = 'SMALL'").select("gene").collect()]
-    g = [r[0] for r in names.where("brand = 'Brand#7' and type = 'SMALL'").select("gene").collect()]
+    s, g = (names.where(f"brand = '{b}' and type = 'SMALL'").select("gene") for b in ("Brand#3", "Brand#7"))
     cells = tb.basket_cells(spark, sf)
     return score.score_cell_cycle(norm_layer(spark, sf), cells, s, g, seed=1)
 

@@ -120,7 +120,8 @@ def test_pearson_residuals(spark, matrix):
     x = np.round(matrix)
     rows, index, _ = rows_of(spark, x)
     totals = x.sum(0)
-    got = gather(normalize.pearson_residuals(rows, totals, 80))
+    table = spark.createDataFrame([(j, float(t)) for j, t in enumerate(totals)], "i int, t double")
+    got = gather(normalize.pearson_residuals(rows, table, 80))
     mu = np.outer(x.sum(1), totals) / x.sum()
     z = np.divide(x - mu, np.sqrt(mu + mu * mu / 100), out=np.zeros_like(x), where=mu > 0)
     assert np.allclose(got, np.clip(z, -np.sqrt(80), np.sqrt(80)))
