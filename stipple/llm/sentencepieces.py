@@ -15,7 +15,6 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 from functools import cached_property, lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +24,8 @@ from pyspark.sql import functions as F
 from stipple.llm.common import slices, texts
 
 SPACE = "▁"
-#: distinct chunks whose segmentation a worker remembers before it starts afresh
-MEMORY = 150_000
 #: bytes of text that a task encodes at once
 SLICE = 500_000
-LONGEST_REMEMBERED = 64
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -180,13 +176,11 @@ class Encoder:
     def __init__(self, model: bytes):
         import sentencepiece
 
-        pieces, spec, trainer = [], {}, {}
+        pieces, spec = [], {}
         for field, value in message_fields(model):
             if field == 1:
                 p = dict(message_fields(value))
                 pieces.append((p[1].decode(), p.get(3, 1)))
-            elif field == 2:
-                trainer |= dict(message_fields(value))
             elif field == 3:
                 spec |= dict(message_fields(value))
         self.normalize = Normalizer(spec, [p for p, kind in pieces if kind == 4])
@@ -197,30 +191,11 @@ class Encoder:
         self.eos, self.unknown = self.segmenter.eos_id(), self.segmenter.unk_id()
         self.size = np.array([1 if kind == 6 else len(p.encode()) for p, kind in pieces], np.int64)
         self.is_byte = np.array([kind == 6 for _, kind in pieces])
+        #: bytes of characters of several bytes
+        self.is_part = np.array([kind == 6 and int(p[3:5], 16) >= 128 for p, kind in pieces])
         self.raw = [bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(SPACE, " ").encode() for p, kind in pieces]
         self.spaced = np.array([kind != 6 and p.startswith(SPACE) for p, kind in pieces])
         self.odd = np.array([kind not in (1, 4, 6) for _, kind in pieces])
-        #: where no piece has a space mark after another character, text falls apart before such marks
-        self.chunked = bool(trainer.get(35)) and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p, kind in pieces if kind == 1)
-        self.known: dict[str, list[int]] = {}
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-
-    def _segment(self, normal: str) -> list[int]:
-        if not self.chunked:
-            return self.segmenter.encode(normal)
-        chunks, known = self.cut(normal), self.known
-        new = set(chunks).difference(known)
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            new = set(chunks)
-        if new:
-            listed = list(new)
-            known.update(zip(listed, self.segmenter.encode(listed), strict=True))
-        out = list(chain.from_iterable(map(known.__getitem__, chunks)))
-        for c in new:
-            if len(c) > LONGEST_REMEMBERED:
-                del known[c]
-        return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids with the end id, and the first and one-past-last source byte of each."""
@@ -228,14 +203,14 @@ class Encoder:
         end = source[-1]
         if not normal:
             return np.array([self.eos], np.int32), np.array([end]), np.array([end])
-        ids = np.array(self._segment(normal), np.int32)
+        ids = np.array(self.segmenter.encode(normal), np.int32)
         if (ids == self.unknown).any():
             stop = self._unknown_ends(normal)
         else:
             stop = np.cumsum(self.size[ids])
         start = np.concatenate([[0], stop[:-1]])
         begin, last = source[start], source[stop]
-        inner = self.is_byte[ids]
+        inner = self.is_part[ids]
         if inner.any():  # parts of a character take the whole character
             begin[inner], last[inner] = self._character_bounds(normal, source, start[inner])
         return np.append(ids, self.eos), np.append(begin, end), np.append(last, end)
@@ -280,7 +255,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def shared_encoder(model: bytes) -> Encoder:
-    """One encoder a worker process: its memory of chunks outlives a task."""
+    """One encoder a worker process, however many tasks it runs."""
     return Encoder(model)
 
 
