@@ -77,9 +77,9 @@ def test_leiden_finds_blobs_and_ignores_partitioning(vec_table):
     half = got[got.resolution == 0.5]
     assert half.cluster.nunique() == 4 and (half.groupby("cluster").truth.nunique() == 1).all()
     assert (got[got.resolution == 1.0].groupby("cluster").truth.nunique() == 1).all()
-    again = cluster.leiden(g.repartition(3), [0.5, 1.0]).toPandas()
+    again = cluster.leiden(g.repartition(3), [0.5]).toPandas()
     key = ["resolution", "cell_id"]
-    assert got.sort_values(key).cluster.tolist() == again.sort_values(key).cluster.tolist()
+    assert half.sort_values(key).cluster.tolist() == again.sort_values(key).cluster.tolist()
 
 
 def gains(graph, label, gamma):
@@ -95,11 +95,11 @@ def gains(graph, label, gamma):
     return np.where(own, -np.inf, into).max(1) - stay
 
 
-@pytest.mark.parametrize("nodes", [20_000, 60])  # one block; many, and communities that fit none
+@pytest.mark.parametrize("nodes", [20_000, 40])  # one block; many, and communities that fit none
 def test_leiden_ends_where_nobody_gains(vec_table, monkeypatch, nodes):
     monkeypatch.setattr(cluster, "NODES", nodes)
     rng = np.random.default_rng(13)
-    n = 300 if nodes > 60 else 150
+    n = 300 if nodes > 60 else 90
     x = rng.normal(size=(n, 6)) + rng.integers(0, 3, n)[:, None] * 2
     g = cut(neighbors.connectivities(cut(neighbors.knn(vec_table(x), 12))))
     got = cluster.leiden(g, [0.4, 1.5] if nodes > 60 else [1.0]).orderBy("cell_id").toPandas()
@@ -124,7 +124,7 @@ def test_leiden_ends_where_nobody_gains(vec_table, monkeypatch, nodes):
 
 
 def test_leiden_on_a_long_chain_and_on_single_nodes(spark):
-    n = 600
+    n = 200
     i = spark.range(n - 1)
     chain = i.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
     both = cut(chain.unionByName(chain.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
