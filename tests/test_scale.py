@@ -35,3 +35,17 @@ def test_lines_longer_than_a_step(spark, tmp_path, monkeypatch):
     rows = [r for b in matrix_csv._fields(iter([batch.slice(0, 2), batch.slice(2)])) for r in b.to_pylist()]
     assert [(r["gene"], r["count"], r["at"], r["texts"]) for r in rows] == [
         ("é", 3, [1], ["12"]), ("no", 0, [], []), ("", 1, [0], [""]), ("x", 10, [9], ["7"]), ("y", 1, [0], [""])]
+
+
+def test_neighbour_blocks_grow_with_the_table(spark, vec_table, monkeypatch):
+    seen, tree = [], neighbors._tree
+    monkeypatch.setattr(neighbors, "BLOCK", 16)
+    monkeypatch.setattr(neighbors, "HITS", 8)
+    monkeypatch.setattr(neighbors, "_tree", lambda store, points, block, seed: seen.append(block) or tree(store, points, block, seed))
+    x = np.random.default_rng(5).normal(size=(480, 6))
+    x[:40] = x[0]
+    got = neighbors.knn(vec_table(x), 6).orderBy("src", "rank").toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert seen == [480 // neighbors.SENT]
+    assert (got.dst.to_numpy().reshape(480, 5) == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
