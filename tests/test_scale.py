@@ -49,3 +49,9 @@ def test_neighbour_blocks_grow_with_the_table(spark, vec_table, monkeypatch):
     np.fill_diagonal(d, np.inf)
     assert seen == [480 // neighbors.SENT]
     assert (got.dst.to_numpy().reshape(480, 5) == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
+
+
+def test_super_blocks_are_bounded(spark):
+    points = spark.createDataFrame([([0.0, 1.0],)], "vec array<double>")
+    blocks = spark.range(1).select(neighbors.grid_side(points, F.lit(500_000), None)).first()[0]
+    assert 500_000 / blocks <= neighbors.MOST_BLOCK
