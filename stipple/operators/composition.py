@@ -89,7 +89,8 @@ def welch(
     return g.withColumns({
         "ci_lo": F.col("effect") - half,
         "ci_hi": F.col("effect") + half,
-        "pvalue": student_t_p("t", "df_welch"),
+        # samples that do not vary at all are apart for certain
+        "pvalue": F.when((F.col("se") == 0) & (F.col("effect") != 0), 0.0).otherwise(student_t_p("t", "df_welch")),
     }).select(cluster, "effect", "se", "t", "df_welch", "df_pooled", "ci_lo", "ci_hi", "pvalue")
 
 

@@ -79,3 +79,11 @@ def test_basket_counts_group_by_numbers(spark, tmp_path):
     assert {tuple(r) for r in counts.collect()} == {("N7", "1", "5", 5.0), ("N8", "2", "6", 1.0), ("N8", "2", None, 4.0)}
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan
+
+
+def test_welch_without_variance(spark):
+    rows = [("s1", "x", 1.0), ("s2", "x", 1.0), ("s3", "x", 2.0), ("s4", "x", 2.0), ("s1", "y", 1.0), ("s2", "y", 1.0), ("s3", "y", 1.0), ("s4", "y", 1.0)]
+    meta = spark.createDataFrame([("s1", "WT"), ("s2", "WT"), ("s3", "KO"), ("s4", "KO")], "sample string, condition string")
+    got = composition.welch(spark.createDataFrame(rows, "sample string, cluster string, clr double"), meta)
+    p = {r.cluster: r.pvalue for r in got.collect()}
+    assert p["x"] == 0.0 and (p["y"] is None or np.isnan(p["y"]))
