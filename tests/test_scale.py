@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stipple.operators import composition, neighbors, normalize
+from stipple.operators import composition, linalg, neighbors, normalize
 from stipple.plans import tables as tb
 from stipple.plans.catalog import QUERIES
 from stipple.sources import matrix_csv
@@ -120,3 +120,28 @@ def test_pearson_residuals_query_sums_all_residuals(spark, monkeypatch):
     assert len(got) == 20
     for c in range(20):
         assert abs(got[f"c{c}"].residual_sum - z[c].sum()) < 1e-3 and abs(got[f"c{c}"].residual_ss - (z[c] ** 2).sum()) < 1e-3
+
+
+@pytest.mark.parametrize("centre", [True, False])
+def test_narrow_decompositions_need_one_pass(spark, monkeypatch, centre):
+    rng = np.random.default_rng(5)
+    x = rng.poisson(0.3, size=(300, 30)) * (1 + rng.random(30))
+    x[7] = 0
+    rows = spark.createDataFrame(
+        [(i, [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r > 0]]) for i, r in enumerate(x)],
+        "cell_id bigint, idx array<int>, val array<double>").repartition(5).cache()
+    decompose = linalg.pca if centre else linalg.truncated_svd
+    with monkeypatch.context() as m:
+        m.setattr(linalg, "GRAM_WIDTH", 0)
+        steps = decompose(rows, 30, 6, tol=1e-10)
+
+    def none(*args, **kwargs):
+        raise AssertionError("solved by steps")
+
+    monkeypatch.setattr(linalg, "eigenpairs", none)
+    monkeypatch.setattr(linalg, "BLOCK_DOUBLES", 700)  # pieces of 23 rows
+    once = decompose(rows, 30, 6)
+    assert np.allclose(once.variance, steps.variance) and np.allclose(once.ratio, steps.ratio)
+    for a, b in ((once.scores, steps.scores), (once.components.withColumnRenamed("i", "cell_id"), steps.components.withColumnRenamed("i", "cell_id"))):
+        a, b = ({r.cell_id: r.vec for r in t.collect()} for t in (a, b))
+        assert a.keys() == b.keys() and all(np.allclose(a[c], b[c], atol=1e-6) for c in a)
