@@ -162,6 +162,31 @@ def test_diffusion_time_follows_a_line(spark, vec_table):
     assert np.corrcoef(np.argsort(np.argsort(t)), np.arange(300))[0, 1] > 0.99 and t.max() == 1
 
 
+def test_diffusion_map_of_many_nodes_moves_few_columns(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    parts, size = 3, 20
+    w = np.zeros((parts * size, parts * size))
+    for p in range(parts):  # three separate parts: the eigenvalue 1 three times
+        at = slice(p * size, (p + 1) * size)
+        w[at, at] = np.triu(rng.random((size, size)) * (rng.random((size, size)) < 0.2), 1) + np.diag(np.full(size - 1, 0.5), 1)
+    w += w.T
+    src, dst = np.nonzero(w)
+    g = cut(spark.createDataFrame([(int(a), int(b), float(w[a, b])) for a, b in zip(src, dst)], "src bigint, dst bigint, weight double"))
+    monkeypatch.setattr(trajectory, "WIDE_NODES", 50)
+    widths, names = [], []
+    add, save = trajectory.sum_arrays, trajectory.Scratch.save
+    monkeypatch.setattr(trajectory, "sum_arrays", lambda t, by, c, width: widths.append(width) or add(t, by, c, width))
+    monkeypatch.setattr(trajectory.Scratch, "save", lambda self, df, name: names.append(name) or save(self, df, name))
+    e, values = trajectory.diffmap(g, 4, tol=1e-8)
+    k = w / np.outer(w.sum(0), w.sum(0))
+    k = k / np.sqrt(np.outer(k.sum(0), k.sum(0)))
+    want = np.sort(np.linalg.eigvalsh(k))[::-1][:4]
+    assert np.allclose(values, want, atol=1e-8) and np.allclose(want[:3], 1)
+    x = np.array([r.vec for r in e.orderBy("cell_id").collect()])
+    assert np.allclose(k @ x, x * values, atol=1e-6)
+    assert max(widths) <= 5 and "basis" not in names
+
+
 def test_permutation_p_values(vec_table):
     rng = np.random.default_rng(5)
     n = 240
