@@ -123,6 +123,30 @@ def test_leiden_ends_where_nobody_gains(vec_table, monkeypatch, nodes):
             assert len(seen) == len(inside)
 
 
+def test_leiden_moves_few_nodes_one_by_one(vec_table, monkeypatch):
+    """Several blocks, and wishing nodes with few edges: no round has to grant moves that are made together."""
+    monkeypatch.setattr(cluster, "NODES", 60)
+    granted, wishes, together, looks = cluster._granted, cluster._wishes, [], []
+    monkeypatch.setattr(cluster, "_granted", lambda *a: together.append(1) or granted(*a))
+    monkeypatch.setattr(cluster, "_wishes", lambda *a: looks.append(1) or wishes(*a))
+    x = np.random.default_rng(3).normal(size=(150, 8))
+    g = cut(neighbors.connectivities(cut(neighbors.knn(vec_table(x), 10))))
+    label = cluster.leiden(g, [1.0]).orderBy("cell_id").toPandas().cluster.astype(int).to_numpy()
+    assert looks and not together
+    assert gains(g.toPandas(), label, 1.0).max() < 1e-8
+
+
+def test_moves_beside_nodes_that_stay():
+    # places 0 and 1 move, 2 to 4 stay; 0 hangs on 2, 1 on 0 and 3, and the community of 4 is heavy
+    at, to = np.array([0, 0, 1, 1, 1]), np.array([1, 2, 0, 3, 4])
+    w, k = np.array([1.0, 3.0, 1.0, 2.0, 2.5]), np.array([4.0, 5.5])
+    comm = np.array([0, 1, 2, 3, 4])
+    mass, size = np.array([4.0, 5.5, 3.0, 2.0, 60.0]), np.ones(5, int)
+    assert cluster._moved(at, to, w, k, comm, 1 / 80, False, mass, size).tolist() == [2, 3, 2, 3, 4]
+    size[:2] = 2  # no longer alone
+    assert cluster._moved(at, to, w, k, comm, 1 / 80, True, mass, size).tolist() == comm.tolist()
+
+
 def test_leiden_on_a_long_chain_and_on_single_nodes(spark):
     n = 200
     i = spark.range(n - 1)
