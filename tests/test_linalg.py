@@ -116,6 +116,40 @@ def test_combat_matches_dense_and_removes_batch(spark):
     assert spread(got) < 0.1 * spread(x)
 
 
+def test_combat_in_small_blocks_and_without_batch(spark, monkeypatch):
+    from stipple.operators import combat as module
+
+    monkeypatch.setattr(module, "BLOCK_DOUBLES", 70)
+    monkeypatch.setattr(module, "ENTRIES", 100)
+    monkeypatch.setattr(module, "MAPPED", 7)
+    rng = np.random.default_rng(3)
+    x = rng.gamma(2, 1, size=(60, 30)) * (rng.random((60, 30)) < 0.3)
+    x[5] = 0
+    rows, index, _ = rows_of(spark, x)
+    batch = np.array(["a", "b", "c"])[np.arange(60) % 3]
+    names = [None if i >= 55 else "alone" if i == 54 else str(batch[i]) for i in range(60)]
+    cells = spark.createDataFrame([(f"c{i:03d}", n) for i, n in enumerate(names)], "cell_id string, sample string")
+    got = gather(combat(long(spark, x), cells, index))
+    assert np.allclose(got[:54], dense_combat(x[:54], batch[:54]), atol=1e-8)
+    assert np.array_equal(got[54:], x[54:])
+
+
+def test_combat_query_corrects_every_gene(spark, tmp_path):
+    from stipple.plans.catalog import QUERIES
+
+    genes, cells = 10_050, 6
+    tables = {
+        "nation": spark.createDataFrame([(0, "A", 0), (1, "B", 1)], "n_nationkey int, n_name string, n_regionkey int"),
+        "customer": spark.createDataFrame([(c, c % 2, "m") for c in range(cells)], "c_custkey int, c_nationkey int, c_mktsegment string"),
+        "orders": spark.range(cells).selectExpr("id o_orderkey", "cast(id as int) o_custkey"),
+        "lineitem": spark.range(cells * genes).selectExpr(
+            f"id % {cells} l_orderkey", f"cast(floor(id / {cells}) as int) l_partkey", "1.0 + pmod(hash(id), 5) l_quantity")}
+    for name, t in tables.items():
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = QUERIES["combat"](spark, str(tmp_path)).selectExpr("cell_id", "size(vec) width").collect()
+    assert len(got) == cells and {r.width for r in got} == {genes}
+
+
 def test_pearson_residuals(spark, matrix):
     x = np.round(matrix)
     rows, index, _ = rows_of(spark, x)
