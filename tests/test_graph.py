@@ -278,3 +278,39 @@ def test_shuffled_places():
     assert (first > 0).sum() == 45 and first.max() < 150 and first[first > 0].min() > 45  # each pair near 4000 / 45 = 89
     big = shift._shuffled(np.arange(5000), 5000, 7, np.arange(3))
     assert (np.sort(big, axis=0) == np.arange(5000)[:, None]).all()
+
+
+def test_a_crowd_wishing_into_one_community_moves_in_part(spark):
+    n, k, m2 = 4000, 1.0, 5000.0
+    wishes = spark.range(n).selectExpr("0 r", "id node", "id comm", f"{k}D k", "-1L target", "0.3D + id * 1e-9D gain")
+    got = cluster._granted(wishes, [1.0], m2)
+    assert got.count() == n
+    moved = got.where("granted").count()
+    # the last one's gain is what all before it have left of 0.3
+    assert n / 8 < moved <= 0.3 * m2
+
+
+def test_hubs_of_a_crowd_settle(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "NODES", 80)
+    monkeypatch.setattr(cluster, "EDGES", 700)
+    rng = np.random.default_rng(8)
+    pairs = {(i, int(j)) for i in range(8, 250) for j in rng.choice(8, 5, replace=False)} | {(i, i + 1) for i in range(250, 260)}
+    rows = [(a, b, 1.0) for i, j in pairs for a, b in ((i, j), (j, i))]
+    g = cut(spark.createDataFrame(rows, "src bigint, dst bigint, weight double"))
+    rounds, wishes = [], cluster._wishes
+    monkeypatch.setattr(cluster, "_wishes", lambda *a: (rounds.append(1), wishes(*a))[1])
+    got = cluster.leiden(g, [1.0]).toPandas()
+    assert len(got) == 261 and len(rounds) < 60
+    label = dict(zip(got.cell_id, got.cluster))
+    degree, mass = {}, {}
+    for a, _, w in rows:
+        degree[a] = degree.get(a, 0) + w
+    for a, k in degree.items():
+        mass[label[a]] = mass.get(label[a], 0) + k
+    m2, link = sum(degree.values()), {}
+    for a, b, w in rows:
+        link.setdefault(a, {}).setdefault(label[b], 0.0)
+        link[a][label[b]] += w
+    for a, to in link.items():
+        stay = to.get(label[a], 0) - degree[a] * (mass[label[a]] - degree[a]) / m2
+        assert all(w - degree[a] * mass[c] / m2 <= stay + 1e-6 for c, w in to.items() if c != label[a])

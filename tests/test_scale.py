@@ -37,6 +37,22 @@ def test_lines_longer_than_a_step(spark, tmp_path, monkeypatch):
         ("é", 3, [1], ["12"]), ("no", 0, [], []), ("", 1, [0], [""]), ("x", 10, [9], ["7"]), ("y", 1, [0], [""])]
 
 
+def test_equal_vectors_are_looked_for_once(spark, vec_table, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(400, 3)), 1)
+    x[rng.permutation(400)[:250]] = 0.0
+    x[rng.permutation(400)[:40]] = [0.1, 0.0, 0.0]
+    met = []
+    monkeypatch.setattr(neighbors, "_nearest", lambda store, points, *a, f=neighbors._nearest: (met.append(points.count()), f(store, points, *a))[1])
+    got = neighbors.knn(vec_table(x), 6, block=50).orderBy("src", "rank").toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    want = np.lexsort((np.broadcast_to(np.arange(400), d.shape), d), axis=1)[:, :5]
+    assert np.array_equal(got.dst.to_numpy().reshape(400, 5), want)
+    assert np.allclose(got.dist.to_numpy().reshape(400, 5), np.take_along_axis(d, want, 1))
+    assert got["rank"].tolist() == [1, 2, 3, 4, 5] * 400 and met[0] < 200
+
+
 def test_neighbour_blocks_grow_with_the_table(spark, vec_table, monkeypatch):
     seen, tree = [], neighbors._tree
     monkeypatch.setattr(neighbors, "BLOCK", 16)
